@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pointloom.llm.packing import op1_best_fit_packing
+from pointloom.llm.quality import op9_quality_rules
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
