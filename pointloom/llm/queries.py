@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pointloom.llm.decontaminate import op2_benchmark_decontamination
 from pointloom.llm.packing import op1_best_fit_packing
 from pointloom.llm.quality import op9_quality_rules
 from pointloom.llm.simhash import op4_simhash_near_dedup
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
