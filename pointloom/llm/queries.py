@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pointloom.llm.decontaminate import op2_benchmark_decontamination
+from pointloom.llm.linededup import op3_line_dedup
 from pointloom.llm.packing import op1_best_fit_packing
 from pointloom.llm.quality import op9_quality_rules
 from pointloom.llm.simhash import op4_simhash_near_dedup
@@ -10,6 +11,7 @@ from pointloom.llm.simhash import op4_simhash_near_dedup
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_line_dedup": op3_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
