@@ -7,13 +7,17 @@ from pointloom.llm.linededup import op3_line_dedup
 from pointloom.llm.packing import op1_best_fit_packing
 from pointloom.llm.quality import op9_quality_rules
 from pointloom.llm.simhash import op4_simhash_near_dedup
+from pointloom.llm.urlfilter import OP5_SQL, op5_url_filters
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_url_filters": op5_url_filters,
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filters": OP5_SQL,
+}
