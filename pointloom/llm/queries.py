@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pointloom.llm.decontaminate import op2_benchmark_decontamination
+from pointloom.llm.licenses import op6_license_scans
 from pointloom.llm.linededup import op3_line_dedup
 from pointloom.llm.packing import op1_best_fit_packing
 from pointloom.llm.quality import op9_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_url_filters": op5_url_filters,
+    "op6_license_scans": op6_license_scans,
     "op9_quality_rules": op9_quality_rules,
 }
 
