@@ -8,6 +8,7 @@ from pointloom.llm.linededup import op3_line_dedup
 from pointloom.llm.packing import op1_best_fit_packing
 from pointloom.llm.quality import op9_quality_rules
 from pointloom.llm.simhash import op4_simhash_near_dedup
+from pointloom.llm.toxicity import op8_toxicity
 from pointloom.llm.urlfilter import OP5_SQL, op5_url_filters
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_url_filters": op5_url_filters,
     "op6_license_scans": op6_license_scans,
+    "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
 }
 
