@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pointloom.llm.decontaminate import op2_benchmark_decontamination
+from pointloom.llm.langid import op10_language_id
 from pointloom.llm.licenses import op6_license_scans
 from pointloom.llm.linededup import op3_line_dedup
 from pointloom.llm.packing import op1_best_fit_packing
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_license_scans": op6_license_scans,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
