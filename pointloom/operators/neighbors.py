@@ -163,7 +163,7 @@ def feature_knn(q: DataFrame, t: DataFrame, k: int = 1, small: int = SMALL, bloc
         return ranked(q.crossJoin(t).select("qid", "nid", _feature_d2("qf", "tf").alias("d2")), k)
     blocks_q, blocks_t = -(-n_q // block), -(-n_t // block)
     qb = q.withColumn("bq", F.pmod(F.xxhash64("qid"), F.lit(blocks_q))).withColumn("bt", F.explode(F.sequence(F.lit(0), F.lit(blocks_t - 1))))
-    tb = t.withColumn("bt", F.pmod(F.xxhash64("nid"), F.lit(blocks_t)).cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(blocks_q - 1))).cast("long"))
+    tb = t.withColumn("bt", F.pmod(F.xxhash64("nid"), F.lit(blocks_t)).cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_q - 1).cast("long"))))
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:

@@ -397,10 +397,10 @@ def _radial(spark, sf_dir) -> DataFrame:
 
 _KNN15 = sql_ranked(sql_pairs(EMB, EMB), 15)
 SQL_PAIR = f"""f AS (SELECT qid, rank, nid, d2, count(*) OVER (PARTITION BY qid) AS k FROM ({_KNN15})),
-j AS (SELECT qid, nid, k, b.x - a.x AS lx, b.y - a.y AS ly, b.z - a.z AS lz, a.nx AS ax, a.ny AS ay, a.nz AS az, b.nx AS bx, b.ny AS by, b.nz AS bz FROM f JOIN {UNIT} a ON f.qid = a.pid JOIN {UNIT} b ON f.nid = b.pid WHERE rank > 1),
+j AS (SELECT qid, nid, k, b.x - a.x AS lx, b.y - a.y AS ly, b.z - a.z AS lz, a.nx AS mx, a.ny AS my, a.nz AS mz, b.nx AS ox, b.ny AS oy, b.nz AS oz FROM f JOIN {UNIT} a ON f.qid = a.pid JOIN {UNIT} b ON f.nid = b.pid WHERE rank > 1),
 g AS (SELECT *, sqrt(lx * lx + ly * ly + lz * lz) AS d FROM j),
-h AS (SELECT *, greatest(-1.0, least(1.0, (ax * lx + ay * ly + az * lz) / d)) AS a1, greatest(-1.0, least(1.0, (bx * lx + by * ly + bz * lz) / d)) AS a2 FROM g),
-o AS (SELECT qid, nid, k, d, CASE WHEN abs(a1) < abs(a2) THEN -a2 ELSE a1 END AS theta, {", ".join(f"CASE WHEN abs(a1) < abs(a2) THEN b{c} ELSE a{c} END AS s{c}, CASE WHEN abs(a1) < abs(a2) THEN a{c} ELSE b{c} END AS t{c}, CASE WHEN abs(a1) < abs(a2) THEN l{c} * -1.0 ELSE l{c} END AS w{c}" for c in "xyz")} FROM h),
+h AS (SELECT *, greatest(-1.0, least(1.0, (mx * lx + my * ly + mz * lz) / d)) AS a1, greatest(-1.0, least(1.0, (ox * lx + oy * ly + oz * lz) / d)) AS a2 FROM g),
+o AS (SELECT qid, nid, k, d, CASE WHEN abs(a1) < abs(a2) THEN -a2 ELSE a1 END AS theta, {", ".join(f"CASE WHEN abs(a1) < abs(a2) THEN o{c} ELSE m{c} END AS s{c}, CASE WHEN abs(a1) < abs(a2) THEN m{c} ELSE o{c} END AS t{c}, CASE WHEN abs(a1) < abs(a2) THEN l{c} * -1.0 ELSE l{c} END AS w{c}" for c in "xyz")} FROM h),
 v AS (SELECT *, wy * sz - wz * sy AS p0, wz * sx - wx * sz AS p1, wx * sy - wy * sx AS p2 FROM o),
 vn AS (SELECT *, sqrt(p0 * p0 + p1 * p1 + p2 * p2) AS vn FROM v),
 u AS (SELECT *, p0 / vn AS v0, p1 / vn AS v1, p2 / vn AS v2 FROM vn),
@@ -552,12 +552,12 @@ def inlier_ratio(spark, sf_dir):
     return R.inlier_ratio(*_pairs(spark, sf_dir), 0.05)
 
 
-def _matrix_rows(spark: SparkSession, m: np.ndarray, digits: int = 5) -> DataFrame:
+def _matrix_rows(spark: SparkSession, m: np.ndarray, digits: int = 7) -> DataFrame:
     rows = [(i, j, float(round(m[i, j], digits) + 0.0)) for i in range(m.shape[0]) for j in range(m.shape[1])]
     return spark.createDataFrame(rows, "i int, j int, v double")
 
 
-_KNOWN = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, {num(round(MOVE[i, j], 5))})" for i in range(4) for j in range(4)) + ") AS t(i, j, v)"
+_KNOWN = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, {num(round(MOVE[i, j], 7))})" for i in range(4) for j in range(4)) + ") AS t(i, j, v)"
 
 
 @query(_KNOWN)

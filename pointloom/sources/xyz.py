@@ -1,12 +1,16 @@
-"""XYZ text: a point a line. Reading and writing are column expressions over Spark's text source."""
+"""XYZ text: a point a line, over Spark's text source. Parsing is column expressions."""
 
 from __future__ import annotations
 
 import math
+import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.functions.formatting import fixed
 from pointloom.functions.vec import XYZ
 
 #: The longest numeric start of a token, as the C library reads it.
@@ -30,14 +34,22 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     return got.where("x is not null and y is not null and z is not null")
 
 
-def _text(name: str) -> Column:
-    v = F.col(name)
-    return F.when(F.isnan(v), "nan").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf").otherwise(F.format_string("%.10f", v))
+@F.pandas_udf("string")
+def _line(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+    """C's rounding, by the exact binary value; Java's formatter rounds the shortest decimal half up instead."""
+    parts = []
+    for column in (x, y, z):
+        values = column.to_numpy(float)
+        text = np.char.mod("%.10f", values).astype(object)
+        for i in np.flatnonzero(~np.isfinite(values)):
+            text[i] = fixed(values[i])
+        parts.append(text)
+    return pd.Series(parts[0] + " " + parts[1] + " " + parts[2], dtype=object)
 
 
 def formatted(cloud: DataFrame) -> DataFrame:
     """pid and the line of each point, ten digits after the point."""
-    return cloud.select("pid", F.concat_ws(" ", *[_text(c) for c in XYZ]).alias("line"))
+    return cloud.select("pid", _line(*XYZ).alias("line"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -51,8 +63,6 @@ def write(cloud: DataFrame, path: str) -> None:
 
 
 def _number(token: str) -> float | None:
-    import re
-
     if m := re.match(NUMBER, token):
         return float(m[1])
     if m := re.match(SPECIAL, token):
