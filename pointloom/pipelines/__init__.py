@@ -1,0 +1 @@
+"""Registration pipelines."""

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointloom.functions.formatting import fixed
 from pointloom.functions.vec import XYZ
@@ -34,7 +35,7 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     return got.where("x is not null and y is not null and z is not null")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _line(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
     """C's rounding, by the exact binary value; Java's formatter rounds the shortest decimal half up instead."""
     parts = []
