@@ -1,57 +1,23 @@
-"""Helpers shared by the training-data operators: shared-folder tables, text columns, Arrow maps."""
+"""Helpers shared by the training-data operators: text columns, Arrow maps, tables in the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointloom.plans.staging import discard, release, scope, scratch_dir, written
+
+__all__ = ["az_lower", "bounded_sample", "crc_mod", "discard", "map_arrow", "release", "scope", "scratch_dir", "table", "unwrapped", "words_of", "wrapped", "written"]
+
 #: White space of the contracts, and what separates words made of letters and digits.
 SPACE = r"[\x20\x09-\x0D]+"
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_scratch: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """This application's folder below the shared ``spark.checkpoint.dir``.
-
-    The setting is read from the session. Only where it is unset (tests, a laptop) is a local
-    temporary folder used. The folder is deleted when Python exits.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _scratch:
-        top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        top = top or "file://" + tempfile.mkdtemp(prefix="pointloom-")
-        _scratch[app] = f"{top.rstrip('/')}/tables-{app}"
-        atexit.register(_remove, spark, _scratch[app])
-    return _scratch[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    except Exception:  # the session has ended: nothing is left to delete it with
-        pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def az_lower(text: Column) -> Column:
     """Lower-cases A-Z alone. ASCII texts, where ``lower`` does the same, take the fast path."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -83,3 +49,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def bounded_sample(rows: DataFrame, by: str, most: dict | int, groups: int) -> DataFrame:
+    """Of each of the ``groups`` commonest values of ``by``, the rows with the least hash of doc_id, ``most`` of them at most.
+
+    Counts come first: they give the share of hashes that holds that many rows, and nothing else is shuffled. So one
+    common value costs no more than a rare one. Adds nth, the row's number within its group.
+    """
+    counts = rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(groups).collect()
+    wanted = {r[by]: most if isinstance(most, int) else most[r[by]] for r in counts}
+    shares = {r[by]: min(1.0, (wanted[r[by]] + 8 * wanted[r[by]] ** 0.5 + 20) / r["n"]) for r in counts}
+    draw, choice, last = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), F.lit(False), F.lit(0)
+    for value, share in shares.items():
+        choice = F.when(F.col(by) == value, draw < int(share * (1 << 40)) + 1).otherwise(choice)
+        last = F.when(F.col(by) == value, wanted[value]).otherwise(last)
+    order = Window.partitionBy(by).orderBy(draw, "doc_id")
+    return rows.where(choice).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= last)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import map_arrow, table, unwrapped, wrapped, written
+from pointloom.llm.common import discard, map_arrow, table, unwrapped, wrapped, written
 
 RUN, GRAM = 50, 25
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -102,6 +102,7 @@ def repeated_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFram
     met = known.join(shared, "fingerprint", "left_semi")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash", "start")
     met = written(met.select("row", "h1", "h2", "end", place.alias("place")), "met-windows")
+    discard(known)
     first = met.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     later = met.join(first, ["h1", "h2"]).where(F.col("place") > F.col("first"))
     spans = later.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.col("place.start").alias("start"), "end"))).alias("spans"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import LOWER, UPPER, map_arrow, table, unwrapped, wrapped, written
+from pointloom.llm.common import LOWER, UPPER, discard, map_arrow, table, unwrapped, wrapped, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 _AZ = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -84,7 +84,8 @@ def components(pairs: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select("v", F.col("m").alias("u")).where("u < v").distinct()
         down = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(down, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*").where("u < v").distinct()
-        stars = written(small, "stars")
+        old, stars = stars, written(small, "stars")
+        discard(old)
         now = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             break
@@ -98,6 +99,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     distinct = written(known.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     member = components(links(distinct))
     rooted = written(distinct.join(member, distinct.fp == member.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted")
+    discard(distinct)
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return known.join(named, "fp").select("row", "doc_id", "fp", "component_id")
 
@@ -118,7 +120,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     whole = written(wrapped(docs).withColumn("row", F.monotonically_increasing_id()), "numbered-docs")
     found = written(grouped(whole.select("row", F.col("d.doc_id").alias("doc_id"), F.col("d.text").alias("text"))), "grouped")
     first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")).select("least.row")
-    return unwrapped(whole.join(first, "row", "left_semi"), docs)
+    others = written(found.select("row").join(first, "row", "left_anti"), "dropped")  # far fewer than those that stay
+    return unwrapped(whole.join(others, "row", "left_anti"), docs)
 
 
 def op4_simhash_near_dedup(spark, sf_dir):
