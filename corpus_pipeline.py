@@ -1,37 +1,61 @@
-"""Documents to packed sequences: quality, line dedup, near-dedup, decontamination, packing."""
+"""Documents to packed sequences: quality, line dedup, near-dedup, decontamination, packing.
+
+A stage's result is stored before the next stage is called; so each stage begins by deleting what the
+operators of earlier stages have left in the shared folder, and the disk holds one stage's tables at a time.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm.common import table, written
+from pointloom.llm.common import discard, release, scope, table, written
 from pointloom.llm.decontaminate import keep_clean
 from pointloom.llm.linededup import cut_repeats
 from pointloom.llm.packing import pack
 from pointloom.llm.quality import keep_good
 from pointloom.llm.simhash import keep_one
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def stage(fn: Stage) -> Stage:
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, "pipeline stage")
+        with scope("pipeline stage"):
+            return fn(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; cutoffs are learnt from the labels of those that come in."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines of 50 words or more that stand earlier are cut out of the texts."""
     return cut_repeats(docs)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that with the smallest id."""
     return keep_one(docs)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
     return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their token ids and their places in the sequences."""
     return pack(docs)
@@ -52,6 +76,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over all documents, each written as Parquet and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for name, step in STAGES[:-1]:
+        done = written(step(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
