@@ -1,4 +1,4 @@
-"""The queries of this subpackage, by name, and the DuckDB SQL of those that SQL can express."""
+"""The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ from pointloom.llm.langid import op10_language_id
 from pointloom.llm.langmodel import op7_lm_scoring
 from pointloom.llm.licenses import op6_license_scans
 from pointloom.llm.linededup import op3_line_dedup
+from pointloom.llm.oracles import ORACLE_SQL
 from pointloom.llm.packing import op1_best_fit_packing
 from pointloom.llm.quality import op9_quality_rules
 from pointloom.llm.simhash import op4_simhash_near_dedup
 from pointloom.llm.toxicity import op8_toxicity
-from pointloom.llm.urlfilter import OP5_SQL, op5_url_filters
+from pointloom.llm.urlfilter import op5_url_filters
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -26,6 +27,4 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op5_url_filters": OP5_SQL,
-}
+__all__ = ["ORACLE_SQL", "QUERIES"]
