@@ -1,7 +1,7 @@
 """Language identification by averaged hashed subword embeddings under a linear softmax.
 
 The model is fitted on the driver, by stochastic gradient descent in NumPy, to a bounded sample: ``PER_LANG`` documents of
-each language, those with the smallest id hashes, ``MAX_ROWS`` in all. Each gives its whole text and one
+each of the ``MAX_LANGS`` commonest languages, those with the smallest id hashes. Each gives its whole text and one
 short stretch of it, so that short texts are learnt too. A fifth of the sample isn't learnt from: on it,
 the temperature of the softmax is fitted, and the least score that keeps the share of errors among accepted
 texts within ``ERRORS``, by an exact binomial bound. Every document is then scored whole, where it lies.
@@ -16,14 +16,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import crc_mod, map_arrow, table
+from pointloom.llm.common import bounded_sample, crc_mod, map_arrow, table
 from pointloom.llm.subwords import BagModel, counts, scores, softmax
 
 SIZES, BUCKETS, DIM = (2, 3, 4), 1 << 16, 8
-PER_LANG, MAX_ROWS, STRETCH = 1200, 24_000, 8
+PER_LANG, MAX_LANGS, STRETCH = 1200, 40, 8
 EPOCHS, RATE, SCALE, DECAY = 6, 0.02, 20.0, 1e-5
 ERRORS, CONFIDENCE = 0.01, 0.95
 _LETTER = re.compile(r"[^\W\d_]").search
@@ -39,10 +39,8 @@ class Model(NamedTuple):
 
 def sample_of(docs: DataFrame, allowed: Column) -> DataFrame:
     """(lang, text, nth) of the learning sample; nth numbers the rows of a language by their id's hash."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & allowed)
-    chosen = known.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PER_LANG)
-    chosen = F.broadcast(chosen.orderBy("nth", F.xxhash64("lang"), "lang").limit(MAX_ROWS))
+    chosen = F.broadcast(bounded_sample(known.select("doc_id", "lang"), "lang", PER_LANG, MAX_LANGS))  # ids alone
     return known.select("doc_id", "text").join(chosen, "doc_id").select("lang", "text", "nth")
 
 
