@@ -26,7 +26,10 @@ def slices(texts: Sequence[str | None], limit: int = SLICE) -> Iterator[tuple[by
     for i, text in enumerate(texts):
         rest = normal(text or "")
         while rest:
-            cut = len(rest) if len(rest) <= limit else (rest.rfind(b" ", 0, limit) + 1 or limit)
+            cut = len(rest)
+            if cut > limit:
+                blank = rest.rfind(b" ", 1, limit)
+                cut = blank + 1 if blank > 0 else limit  # a word longer than that is cut
             part, rest = rest[:cut], rest[cut:]
             rest = b" " + rest if rest else rest
             if parts and size + len(part) > limit:

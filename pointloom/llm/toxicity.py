@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import crc_mod, map_arrow, table
+from pointloom.llm.common import bounded_sample, crc_mod, map_arrow, table
 from pointloom.llm.subwords import BagModel, counts, scores, softmax
 
 SIZES, BUCKETS, DIM = (3, 4, 5), 1 << 18, 4
@@ -54,9 +54,8 @@ def gathered(bags: DataFrame, most: int = MAX_ENTRIES) -> tuple[list[tuple[np.nd
 
 def sample_of(labels: DataFrame, allowed: Column, per_class: Sequence[int] = PER_CLASS) -> DataFrame:
     """(doc_id, label): of each label, the rows with the smallest hashes; a document with both labels counts as 1."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & allowed).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    parts = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in enumerate(per_class)]
-    return parts[0].unionByName(parts[1])
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & allowed).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    return bounded_sample(known, "label", dict(enumerate(per_class)), 2).select("doc_id", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> tuple[np.ndarray, np.ndarray]:
