@@ -7,12 +7,12 @@
   dense cells are left after few candidates, and only queries in sparse places see wide rings.
 * In many dimensions there is no grid: blocks of both sides meet, each pair of blocks in one task.
 
-Nested loops are used only below ``SMALL`` pairs, counted first.
+The 3-D kNN uses a nested loop below ``SMALL`` pairs, counted first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,15 +65,23 @@ def _cell(names, size: float) -> list[Column]:
     return [F.floor(F.col(n) / F.lit(float(size))).cast("long") for n in names]
 
 
-def near_pairs(q: DataFrame, t: DataFrame, radius: float) -> DataFrame:
-    """(qid, nid, d2) of all pairs closer than ``radius`` (strictly). NaN coordinates have no neighbours."""
-    shifts = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip("abc", s, strict=True)]) for s in np.ndindex(3, 3, 3)])
-    asked = _queries(q).where(~F.isnan(F.col("qx") + F.col("qy") + F.col("qz"))).select("*", F.explode(shifts).alias("s"))
-    cells = [(c + F.col(f"s.{n}") - 1).alias(f"c{i}") for i, (c, n) in enumerate(zip(_cell(["qx", "qy", "qz"], radius), "abc", strict=True))]
-    asked = asked.select("qid", "qx", "qy", "qz", *cells)
-    held = _targets(t).where(~F.isnan(F.col("x") + F.col("y") + F.col("z")))
-    held = held.select("*", *[c.alias(f"c{i}") for i, c in enumerate(_cell(XYZ, radius))])
-    return asked.join(held, ["c0", "c1", "c2"]).select("qid", "nid", _d2().alias("d2")).where(F.col("d2") < F.lit(float(radius) ** 2))
+def near_pairs(q: DataFrame, t: DataFrame, radius: float, carry: Sequence[str] = ()) -> DataFrame:
+    """(qid, nid, d2) of all pairs closer than ``radius`` (strictly). NaN coordinates have no neighbours.
+
+    ``carry``: columns of ``t`` to take along, as t_name; then both points come too, as s_x .. and t_x ...
+    """
+    # Expression strings: building the same columns one call at a time takes longer than running them on small clouds.
+    cells = lambda names, shift: [f"cast(floor({n} / {float(radius)!r}D) as bigint){f' + {k}' if shift else ''} AS c{i}" for i, (n, k) in enumerate(zip(names, "abc", strict=True))]
+    asked = q.selectExpr("qid", *[f"cast({c} as double) AS q{c}" for c in XYZ]).where("NOT isnan(qx + qy + qz)")
+    for k in "abc":
+        asked = asked.selectExpr("*", f"explode(array(-1L, 0L, 1L)) AS {k}")
+    asked = asked.selectExpr("qid", "qx", "qy", "qz", *cells(("qx", "qy", "qz"), True))
+    held = t.selectExpr("pid AS nid", *[f"cast({c} as double) AS {c}" for c in XYZ], *[f"{c} AS t_{c}" for c in carry]).where("NOT isnan(x + y + z)")
+    held = held.selectExpr("*", *cells(XYZ, False))
+    d2 = "(qx - x) * (qx - x) + (qy - y) * (qy - y) + (qz - z) * (qz - z) AS d2"
+    points = [f"q{c} AS s_{c}" for c in XYZ] if carry else []
+    found = asked.join(held, ["c0", "c1", "c2"]).selectExpr("qid", "nid", d2, *points, *[f"t_{c}" for c in carry])
+    return found.where(f"d2 < {float(radius) ** 2!r}D")
 
 
 def radius_join(q: DataFrame, t: DataFrame, radius: float) -> DataFrame:
@@ -90,10 +98,24 @@ def hybrid_join(q: DataFrame, t: DataFrame, radius: float, max_nn: int) -> DataF
     return ranked(near_pairs(q, t, radius), max_nn)
 
 
-def nearest_within(q: DataFrame, t: DataFrame, radius: float) -> DataFrame:
-    """(qid, nid, d2) of the nearest point closer than ``radius``: an aggregate with partial sums, no sort."""
-    best = near_pairs(q, t, radius).groupBy("qid").agg(F.min(F.struct("d2", "nid")).alias("m"))
-    return best.select("qid", F.col("m.nid").alias("nid"), F.col("m.d2").alias("d2"))
+def nearest_within(q: DataFrame, t: DataFrame, radius: float, carry: Sequence[str] = (), near: float | None = None) -> DataFrame:
+    """(qid, nid, d2) of the nearest point closer than ``radius``: an aggregate with partial minima, no ranking.
+
+    ``near``: a smaller radius within which most queries find a point, and so their nearest one; only the others then
+    look through the wide cells.
+    """
+    if near is not None and 0 < near * 1.5 < radius:
+        soon = nearest_within(q, t, near, carry)
+        return soon.unionByName(nearest_within(q.join(soon.select("qid"), "qid", "left_anti"), t, radius, carry))
+    pairs = near_pairs(q, t, radius, carry)
+    rest = [c for c in pairs.columns if c not in ("qid", "nid", "d2")]
+    best = pairs.groupBy("qid").agg(F.expr(f"min(struct({', '.join(['d2', 'nid', *rest])}))").alias("m"))
+    return best.selectExpr("qid", "m.nid", "m.d2", *[f"m.{c}" for c in rest])
+
+
+def spacing(t: DataFrame, n: int) -> float:
+    """A radius at which points of ``t`` have a few neighbours, in its dense places."""
+    return first_radius(t, 3, n, *bounds_of(t))
 
 
 def first_radius(t: DataFrame, k: int, n: int, low: np.ndarray, high: np.ndarray) -> float:
@@ -150,17 +172,16 @@ def self_search(cloud: DataFrame, param: Knn | Radius | Hybrid) -> DataFrame:
     return search(cloud.withColumnRenamed("pid", "qid"), cloud, param)
 
 
-def _feature_d2(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-
+def feature_knn(q: DataFrame, t: DataFrame, k: int = 1, block: int = BLOCK) -> DataFrame:
+    """The ``k`` nearest of ``t`` (pid, feat) to each of ``q`` (qid, feat), in any number of dimensions.
 
-def feature_knn(q: DataFrame, t: DataFrame, k: int = 1, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """The ``k`` nearest of ``t`` (pid, feat) to each of ``q`` (qid, feat), in any number of dimensions."""
+    Both sides are dealt into blocks by hash; each pair of blocks is one task, which keeps ``k`` rows a query.
+    """
     q = q.select("qid", F.col("feat").cast("array<double>").alias("qf"))
     t = t.select(F.col("pid").alias("nid"), F.col("feat").cast("array<double>").alias("tf"))
     n_q, n_t = q.count(), t.count()
-    if n_q * n_t <= small:
-        return ranked(q.crossJoin(t).select("qid", "nid", _feature_d2("qf", "tf").alias("d2")), k)
+    if not n_q or not n_t:
+        return ranked(q.crossJoin(t.limit(0)).select("qid", "nid", F.lit(0.0).alias("d2")), k)
     blocks_q, blocks_t = -(-n_q // block), -(-n_t // block)
     qb = q.withColumn("bq", F.pmod(F.xxhash64("qid"), F.lit(blocks_q))).withColumn("bt", F.explode(F.sequence(F.lit(0), F.lit(blocks_t - 1))))
     tb = t.withColumn("bt", F.pmod(F.xxhash64("nid"), F.lit(blocks_t)).cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_q - 1).cast("long"))))

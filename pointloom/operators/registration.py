@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import rng
 from pointloom.functions.solve import point_to_plane, symmetric, umeyama
-from pointloom.functions.vec import NORMAL, XYZ, Vec, add, cross, dot, has, lits, mat_vec, norm2, sub, vec
+from pointloom.functions.vec import NORMAL, XYZ, Vec, dot, has, lits, mat_vec, norm2, sub, vec
 from pointloom.operators.bounds import center_of
-from pointloom.operators.neighbors import nearest_within
+from pointloom.operators.neighbors import nearest_within, spacing
 from pointloom.plans.staging import written
 
 
@@ -49,9 +49,15 @@ class Result:
 
 
 def moved(cloud: DataFrame, m: np.ndarray) -> DataFrame:
-    """Rotated, scaled and shifted points; registration never divides by w."""
-    p = add(mat_vec(m, vec()), lits(np.asarray(m, float)[:3, 3]))
-    return cloud.select("pid", *[x.alias(c) for x, c in zip(p, XYZ, strict=True)])
+    """Rotated, scaled and shifted points; registration never divides by w.
+
+    The matrix is a table of one row, not literals: so the generated code is the same for every matrix, and an iteration
+    compiles nothing.
+    """
+    names = [f"m{i}{j}" for i in range(3) for j in range(4)]
+    row = cloud.sparkSession.createDataFrame([tuple(map(float, np.asarray(m, float)[:3].ravel()))], ", ".join(f"{n} double" for n in names))
+    p = [f"m{i}0 * x + m{i}1 * y + m{i}2 * z + m{i}3 AS {c}" for i, c in enumerate(XYZ)]
+    return cloud.select("pid", *XYZ).crossJoin(F.broadcast(row)).selectExpr("pid", *p)
 
 
 def inliers(source: DataFrame, target: DataFrame, max_distance: float, m: np.ndarray) -> DataFrame:
@@ -60,6 +66,13 @@ def inliers(source: DataFrame, target: DataFrame, max_distance: float, m: np.nda
     return near.select(F.col("qid").alias("source_id"), F.col("nid").alias("target_id"), "d2")
 
 
+def closest(source: DataFrame, target: DataFrame, max_distance: float, m: np.ndarray, near: float | None = None) -> DataFrame:
+    """``inliers`` with both points, as in ``paired``, out of the same join: nothing is looked up by id afterwards."""
+    names = XYZ + (NORMAL if has(target, NORMAL) else ())
+    found = nearest_within(moved(source, m).withColumnRenamed("pid", "qid"), target, max_distance, names, near)
+    return found.selectExpr("qid AS source_id", "nid AS target_id", "d2", *[f"s_{c} AS s{c}" for c in XYZ], *[f"t_{c} AS t{c}" for c in names])
+
+
 def _fitness(n: Column, total: int, d2: Column) -> list[Column]:
     return [(n / F.lit(float(max(total, 1)))).alias("fitness"), F.coalesce(F.sqrt(F.try_divide(d2, n)), F.lit(0.0)).alias("inlier_rmse")]
 
@@ -92,15 +105,18 @@ _S, _T, _N = (lambda: vec(["sx", "sy", "sz"])), (lambda: vec(["tx", "ty", "tz"])
 
 def point_moments(shift_s: Sequence[float] = (0, 0, 0), shift_t: Sequence[float] = (0, 0, 0)) -> list[Column]:
     """Sums for the point-to-point fit. ``shift``: what is taken off first, so that far-off clouds keep their digits."""
-    s, t = sub(_S(), lits(shift_s)), sub(_T(), lits(shift_t))
-    return [F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(s)], *[F.sum(x).alias(f"t{i}") for i, x in enumerate(t)], *[F.sum(a * b).alias(f"ts{i}{j}") for i, a in enumerate(t) for j, b in enumerate(s)], F.sum(norm2(s)).alias("ss")]
+    s, t = ([f"({k}{c} - {float(v)!r}D)" for c, v in zip(XYZ, shift, strict=True)] for k, shift in (("s", shift_s), ("t", shift_t)))
+    sums = {f"s{i}": x for i, x in enumerate(s)} | {f"t{i}": x for i, x in enumerate(t)}
+    sums |= {f"ts{i}{j}": f"{a} * {b}" for i, a in enumerate(t) for j, b in enumerate(s)} | {"ss": " + ".join(f"{x} * {x}" for x in s)}
+    return [F.expr("cast(count(1) as double) AS n"), *[F.expr(f"sum({x}) AS {n}") for n, x in sums.items()]]
 
 
 def plane_sums() -> list[Column]:
     """Sums for the point-to-plane fit: the upper triangle of JtJ, and Jtr."""
-    n = _N()
-    j, r = (*cross(_S(), n), *n), dot(sub(_S(), _T()), n)
-    return [*[F.sum(j[a] * j[b]).alias(f"a{a}{b}") for a in range(6) for b in range(a, 6)], *[F.sum(x * r).alias(f"b{i}") for i, x in enumerate(j)]]
+    j = ["(sy * tnz - sz * tny)", "(sz * tnx - sx * tnz)", "(sx * tny - sy * tnx)", "tnx", "tny", "tnz"]
+    r = "((sx - tx) * tnx + (sy - ty) * tny + (sz - tz) * tnz)"
+    square = [F.expr(f"sum({j[a]} * {j[b]}) AS a{a}{b}") for a in range(6) for b in range(a, 6)]
+    return [*square, *[F.expr(f"sum({x} * {r}) AS b{i}") for i, x in enumerate(j)]]
 
 
 def solve_points(v, with_scaling: bool, shift_s: np.ndarray, shift_t: np.ndarray) -> np.ndarray:
@@ -156,13 +172,13 @@ def icp(source: DataFrame, target: DataFrame, max_distance: float, init=None, es
     source = written(source.select("pid", *XYZ), "icp-source")
     target = written(target.select("pid", *XYZ, *(NORMAL if has(target, NORMAL) else ())), "icp-target")
     total = source.count()
-    if not total or target.isEmpty():
+    n_target = target.count()
+    if not total or not n_target:
         return Result(m)
-    shift = center_of(target)
+    shift, near = center_of(target), spacing(target, n_target)
 
     def step(m: np.ndarray) -> tuple[float, float, dict]:
-        pairs = paired(source, target, inliers(source, target, max_distance, m), m)
-        row = pairs.agg(F.sum("d2").alias("d2"), F.count(F.lit(1)).alias("count"), *(plane_sums() if estimation.plane else point_moments(shift, shift))).first().asDict()
+        row = closest(source, target, max_distance, m, near).agg(F.sum("d2").alias("d2"), F.count(F.lit(1)).alias("count"), *(plane_sums() if estimation.plane else point_moments(shift, shift))).first().asDict()
         n = row["count"]
         return n / total, math.sqrt(row["d2"] / n) if n else 0.0, row
 
@@ -179,7 +195,7 @@ def icp(source: DataFrame, target: DataFrame, max_distance: float, init=None, es
         fitness, error, row = step(m)
         if abs(before[0] - fitness) < criteria.relative_fitness and abs(before[1] - error) < criteria.relative_rmse:
             break
-    return evaluate(source, target, max_distance, m)
+    return Result(m, fitness, error, inliers(source, target, max_distance, m).select("source_id", "target_id"))
 
 
 def information_sums() -> list[Column]:
@@ -191,8 +207,8 @@ def information_matrix(source: DataFrame, target: DataFrame, max_distance: float
     """6x6, out of ten sums over the corresponding target points."""
     if max_distance <= 0:
         return np.zeros((6, 6))
-    pairs = inliers(source, target, max_distance, np.asarray(m, float))
-    v = {k: x or 0.0 for k, x in paired(source, target, pairs).agg(*information_sums()).first().asDict().items()}
+    pairs = closest(source, target, max_distance, np.asarray(m, float))
+    v = {k: x or 0.0 for k, x in pairs.agg(*information_sums()).first().asDict().items()}
     skew = np.array([[0, -v["z"], v["y"]], [v["z"], 0, -v["x"]], [-v["y"], v["x"], 0]])
     turn = np.array([[v["yy"] + v["zz"], -v["xy"], -v["xz"]], [-v["xy"], v["xx"] + v["zz"], -v["yz"]], [-v["xz"], -v["yz"], v["xx"] + v["yy"]]])
     return np.block([[turn, skew], [skew.T, v["n"] * np.eye(3)]])

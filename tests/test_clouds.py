@@ -272,7 +272,7 @@ def test_meshes_in_ply(spark, tmp_path):
     v, t = ply.parse_mesh(path.read_bytes())
     for a, b, c in t:
         q = np.stack([v["x"], v["y"]], 1)[[a, b, c]]
-        area += np.cross(q[1] - q[0], q[2] - q[0]) / 2 if False else abs((q[1] - q[0])[0] * (q[2] - q[0])[1] - (q[1] - q[0])[1] * (q[2] - q[0])[0]) / 2
+        area += abs((q[1] - q[0])[0] * (q[2] - q[0])[1] - (q[1] - q[0])[1] * (q[2] - q[0])[0]) / 2
     assert len(t) == 3 and np.isclose(area, 3.5)
     for bad in ("3 0 1 7", "3 0 1 -1", "3 0 1 1.5", "2 0 1", "4 0 0 0 0", "3 0 1"):
         path.write_text(MESH.format(n=1, faces=bad))
