@@ -54,7 +54,7 @@ class KDTreeSearchParamRadius:
         return N.Radius(self.radius)
 
     def __repr__(self) -> str:
-        return f"KDTreeSearchParamRadius(radius={general(self.radius)})"
+        return f"KDTreeSearchParamRadius(radius={self.radius})"
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,7 @@ class KDTreeSearchParamHybrid:
         return N.Hybrid(self.radius, self.max_nn)
 
     def __repr__(self) -> str:
-        return f"KDTreeSearchParamHybrid(radius={general(self.radius)}, max_nn={self.max_nn})"
+        return f"KDTreeSearchParamHybrid(radius={self.radius}, max_nn={self.max_nn})"
 
 
 SearchParam = KDTreeSearchParamKNN | KDTreeSearchParamRadius | KDTreeSearchParamHybrid
@@ -283,14 +283,17 @@ class TriangleMesh(Geometry3D):
         return out.normalize_normals() if normalized else out
 
     def __repr__(self) -> str:
-        return f"TriangleMesh with {self.df.count()} points and {self.triangle_df.count()} triangles."
+        return f"TriangleMesh with {self.df.count()} vertices and {self.triangle_df.count()} triangles."
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, repr=False)
 class Voxel:
     grid_index: tuple[int, int, int] = (0, 0, 0)
     color: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
+    def __repr__(self) -> str:
+        return f"Voxel(grid_index={' '.join(map(str, self.grid_index))}, color={' '.join(map(general, self.color))})"
+
 
 def _is_translation(m: np.ndarray) -> bool:
     return bool(np.abs(m[:3, :3] - np.eye(3)).max() <= 1e-12 and np.abs(m[3] - [0, 0, 0, 1]).max() <= 1e-12)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions import rng
+from pointloom.functions.formatting import exponent
 from pointloom.functions.solve import point_to_plane, symmetric, umeyama
 from pointloom.functions.vec import NORMAL, XYZ, Vec, dot, has, lits, mat_vec, norm2, sub, vec
 from pointloom.operators.bounds import center_of
@@ -19,18 +20,24 @@ from pointloom.operators.neighbors import nearest_within, spacing
 from pointloom.plans.staging import written
 
 
-@dataclass
+@dataclass(repr=False)
 class IcpCriteria:
     relative_fitness: float = 1e-6
     relative_rmse: float = 1e-6
     max_iteration: int = 30
 
+    def __repr__(self) -> str:
+        return f"ICPConvergenceCriteria(relative_fitness={exponent(self.relative_fitness)}, relative_rmse={exponent(self.relative_rmse)}, max_iteration={self.max_iteration})"
 
-@dataclass
+
+@dataclass(repr=False)
 class RansacCriteria:
     max_iteration: int = 100_000
     confidence: float = 0.999
 
+    def __repr__(self) -> str:
+        return f"RANSACConvergenceCriteria(max_iteration={self.max_iteration}, confidence={exponent(self.confidence)})"
+
 
 @dataclass
 class Estimation:
@@ -40,13 +47,17 @@ class Estimation:
     with_scaling: bool = False
 
 
-@dataclass
+@dataclass(repr=False)
 class Result:
     transformation: np.ndarray = field(default_factory=lambda: np.eye(4))
     fitness: float = 0.0
     inlier_rmse: float = 0.0
     correspondence_set: DataFrame | None = None
 
+    def __repr__(self) -> str:
+        n = 0 if self.correspondence_set is None else self.correspondence_set.count()
+        return f"RegistrationResult with fitness={exponent(self.fitness)}, inlier_rmse={exponent(self.inlier_rmse)}, and correspondence_set size of {n}\nAccess transformation to get result."
+
 
 def moved(cloud: DataFrame, m: np.ndarray) -> DataFrame:
     """Rotated, scaled and shifted points; registration never divides by w.

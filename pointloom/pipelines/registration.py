@@ -7,7 +7,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pointloom.functions.formatting import fixed
+from pointloom.functions.vec import NORMAL, has
 from pointloom.geometry import PointCloud, SearchParam
 from pointloom.operators import features as FE
 from pointloom.operators import registration as R
@@ -34,6 +37,9 @@ class TransformationEstimationPointToPoint(TransformationEstimation):
     def __init__(self, with_scaling: bool = False):
         self.with_scaling = with_scaling
 
+    def __repr__(self) -> str:
+        return f"TransformationEstimationPointToPoint(with_scaling={self.with_scaling})"
+
     @property
     def plan(self) -> R.Estimation:
         return R.Estimation(with_scaling=self.with_scaling)
@@ -42,19 +48,64 @@ class TransformationEstimationPointToPoint(TransformationEstimation):
 class TransformationEstimationPointToPlane(TransformationEstimation):
     plan = R.Estimation(plane=True)
 
+    def __repr__(self) -> str:
+        return "TransformationEstimationPointToPlane"
+
+
+class CorrespondenceChecker:
+    """A test of correspondences, given as a table (source_id, target_id), under a transformation."""
+
+    def passed(self, source: DataFrame, target: DataFrame, corres: DataFrame, transformation: np.ndarray) -> DataFrame:
+        raise NotImplementedError
+
+    def Check(self, source: PointCloud, target: PointCloud, corres: DataFrame, transformation) -> bool:
+        R.check_pairs(source.df, target.df, corres)
+        return self.passed(source.df, target.df, corres, np.asarray(transformation, float)).first()[0]
+
+    @property
+    def require_pointcloud_alignment_(self) -> bool:
+        return self.require_pointcloud_alignment
+
 
-CorrespondenceCheckerBasedOnEdgeLength = EdgeLength
-CorrespondenceCheckerBasedOnDistance = Distance
-CorrespondenceCheckerBasedOnNormal = NormalAngle
+@dataclass(frozen=True, repr=False)
+class CorrespondenceCheckerBasedOnEdgeLength(EdgeLength, CorrespondenceChecker):
+    def passed(self, source, target, corres, transformation):
+        return R.edge_length_check(source, target, corres, self.similarity_threshold)
 
+    def __repr__(self) -> str:
+        return f"CorrespondenceCheckerBasedOnEdgeLength with similarity_threshold={fixed(self.similarity_threshold, 6)}"
 
-@dataclass
+
+@dataclass(frozen=True, repr=False)
+class CorrespondenceCheckerBasedOnDistance(Distance, CorrespondenceChecker):
+    def passed(self, source, target, corres, transformation):
+        return R.distance_check(source, target, corres, self.distance_threshold, transformation)
+
+    def __repr__(self) -> str:
+        return f"CorrespondenceCheckerBasedOnDistance with distance_threshold={fixed(self.distance_threshold, 6)}"
+
+
+@dataclass(frozen=True, repr=False)
+class CorrespondenceCheckerBasedOnNormal(NormalAngle, CorrespondenceChecker):
+    def passed(self, source, target, corres, transformation):
+        if not (has(source, NORMAL) and has(target, NORMAL)):
+            return source.sparkSession.range(1).select(F.lit(True).alias("passed"))
+        return R.normal_check(source, target, corres, self.normal_angle_threshold, transformation)
+
+    def __repr__(self) -> str:
+        return f"CorrespondenceCheckerBasedOnNormal with normal_threshold={fixed(self.normal_angle_threshold, 6)}"
+
+
+@dataclass(repr=False)
 class Feature:
     """dim x num numbers, or a table (pid, feat)."""
 
     df: DataFrame | None = None
     data: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
+    def __repr__(self) -> str:
+        return f"Feature class with dimension = {self.dimension()} and num = {self.num()}\nAccess its data via data member."
+
     def resize(self, dim: int, n: int) -> None:
         if dim < 0 or n < 0:
             raise ValueError("feature sizes must not be negative")

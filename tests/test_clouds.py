@@ -336,6 +336,19 @@ def test_checkers():
     assert R.NormalAngle(0.1).fits(s, s, np.eye(4), s, s) and not R.NormalAngle(0.1).fits(s, s, np.eye(4), s, -s)
 
 
+def test_checks_over_tables_and_texts(spark):
+    s = np.random.default_rng(12).random((6, 3))
+    a, b = G.PointCloud.from_numpy(spark, s, normals=s), G.PointCloud.from_numpy(spark, s + [0.5, 0, 0], normals=-s)
+    same = spark.createDataFrame([(i, i) for i in range(6)], "source_id long, target_id long")
+    assert P.CorrespondenceCheckerBasedOnEdgeLength(0.9).Check(a, b, same, np.eye(4))
+    distance, normal = P.CorrespondenceCheckerBasedOnDistance(0.4), P.CorrespondenceCheckerBasedOnNormal(0.1)
+    assert not distance.Check(a, b, same, np.eye(4)) and distance.require_pointcloud_alignment_
+    assert not normal.Check(a, b, same, np.eye(4)) and normal.Check(G.PointCloud.from_numpy(spark, s), b, same, np.eye(4))
+    assert repr(distance) == "CorrespondenceCheckerBasedOnDistance with distance_threshold=0.400000"
+    assert repr(P.ICPConvergenceCriteria()) == "ICPConvergenceCriteria(relative_fitness=1.000000e-06, relative_rmse=1.000000e-06, max_iteration=30)"
+    assert repr(P.RegistrationResult()).startswith("RegistrationResult with fitness=0.000000e+00") and repr(G.Voxel((1, 2, 3))) == "Voxel(grid_index=1 2 3, color=0 0 0)"
+
+
 def test_verbosity():
     with utility.VerbosityContextManager(utility.VerbosityLevel.Debug):
         assert utility.get_verbosity_level() == utility.VerbosityLevel.Debug
