@@ -65,22 +65,23 @@ def _cell(names, size: float) -> list[Column]:
     return [F.floor(F.col(n) / F.lit(float(size))).cast("long") for n in names]
 
 
-def near_pairs(q: DataFrame, t: DataFrame, radius: float, carry: Sequence[str] = ()) -> DataFrame:
+def near_pairs(q: DataFrame, t: DataFrame, radius: float, carry: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """(qid, nid, d2) of all pairs closer than ``radius`` (strictly). NaN coordinates have no neighbours.
 
     ``carry``: columns of ``t`` to take along, as t_name; then both points come too, as s_x .. and t_x ...
+    ``by``: columns of both that must be equal, such as the number of a cloud.
     """
     # Expression strings: building the same columns one call at a time takes longer than running them on small clouds.
     cells = lambda names, shift: [f"cast(floor({n} / {float(radius)!r}D) as bigint){f' + {k}' if shift else ''} AS c{i}" for i, (n, k) in enumerate(zip(names, "abc", strict=True))]
-    asked = q.selectExpr("qid", *[f"cast({c} as double) AS q{c}" for c in XYZ]).where("NOT isnan(qx + qy + qz)")
+    asked = q.selectExpr("qid", *by, *[f"cast({c} as double) AS q{c}" for c in XYZ]).where("NOT isnan(qx + qy + qz)")
     for k in "abc":
         asked = asked.selectExpr("*", f"explode(array(-1L, 0L, 1L)) AS {k}")
-    asked = asked.selectExpr("qid", "qx", "qy", "qz", *cells(("qx", "qy", "qz"), True))
-    held = t.selectExpr("pid AS nid", *[f"cast({c} as double) AS {c}" for c in XYZ], *[f"{c} AS t_{c}" for c in carry]).where("NOT isnan(x + y + z)")
+    asked = asked.selectExpr("qid", *by, "qx", "qy", "qz", *cells(("qx", "qy", "qz"), True))
+    held = t.selectExpr("pid AS nid", *by, *[f"cast({c} as double) AS {c}" for c in XYZ], *[f"{c} AS t_{c}" for c in carry]).where("NOT isnan(x + y + z)")
     held = held.selectExpr("*", *cells(XYZ, False))
     d2 = "(qx - x) * (qx - x) + (qy - y) * (qy - y) + (qz - z) * (qz - z) AS d2"
     points = [f"q{c} AS s_{c}" for c in XYZ] if carry else []
-    found = asked.join(held, ["c0", "c1", "c2"]).selectExpr("qid", "nid", d2, *points, *[f"t_{c}" for c in carry])
+    found = asked.join(held, [*by, "c0", "c1", "c2"]).selectExpr("qid", "nid", d2, *points, *[f"t_{c}" for c in carry])
     return found.where(f"d2 < {float(radius) ** 2!r}D")
 
 
@@ -131,21 +132,21 @@ def first_radius(t: DataFrame, k: int, n: int, low: np.ndarray, high: np.ndarray
     return width
 
 
-def knn_join(q: DataFrame, t: DataFrame, k: int, small: int = SMALL) -> DataFrame:
-    """The ``k`` nearest points of ``t`` to each query, itself included if it is there."""
+def knn_join(q: DataFrame, t: DataFrame, k: int, small: int = SMALL, by: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` nearest points of ``t`` to each query, itself included if it is there; of those with equal ``by`` columns."""
     if k <= 0:
         return radius_join(q, t, 0)
     n_q, n_t = q.count(), t.count()
-    if n_q * n_t <= small:
+    if n_q * n_t <= small and not by:
         return ranked(_queries(q).crossJoin(_targets(t)).select("qid", "nid", _d2().alias("d2")), k)
     least = min(k, n_t)
     low, high = bounds_of(t)
     q_low, q_high = bounds_of(q)
     far = float(np.linalg.norm(np.fmax(high, q_high) - np.fmin(low, q_low))) * 1.001 + 1e-12
     radius = first_radius(t, k, n_t, low, high)
-    left, done = q.select("qid", *XYZ), None
+    left, done = q.select("qid", *by, *XYZ), None
     while True:
-        found = written(ranked(near_pairs(left, t, min(radius, far)), k), "ring")
+        found = written(ranked(near_pairs(left, t, min(radius, far), by=by), k), "ring")
         full = found.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("qid")
         if radius >= far:
             return found if done is None else done.unionByName(found)

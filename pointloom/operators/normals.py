@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions.vec import NORMAL, XYZ, cross, dot, has, lits, norm2, over, select_when, times, vec, with_vec
-from pointloom.operators.neighbors import Hybrid, Knn, Radius, self_search
+from pointloom.operators.neighbors import Hybrid, Knn, Radius, knn_join, self_search
 from pointloom.plans.staging import written
 
 COV = ("c00", "c01", "c02", "c11", "c12", "c22")
@@ -185,21 +185,17 @@ def oriented(points: np.ndarray, normals: np.ndarray, edges: np.ndarray, ranks:
 def orient_consistently(cloud: DataFrame, k: int, penalty: float = 0.0, tolerance: float = 1.0) -> DataFrame:
     """Normals with consistent signs: neighbours by a distributed join, then one spanning tree for each cloud.
 
-    Trees are serial by nature. Clouds are told apart by the column cloud_id, where there is one, and are
-    oriented in parallel, each in one task; one cloud must fit into a task's memory.
+    Trees are serial by nature. Clouds are told apart by the column cloud_id, where there is one: their neighbours are found
+    by one search, and they are oriented in parallel, each in one task; one cloud must fit into a task's memory.
     """
     if not has(cloud, NORMAL):
         raise RuntimeError("No normals in the PointCloud. Call estimate_normals() first.")
-    if "cloud_id" in cloud.columns:
-        parts = [r[0] for r in cloud.select("cloud_id").distinct().collect()]
-        done = [orient_consistently(cloud.where(F.col("cloud_id").eqNullSafe(p)).drop("cloud_id"), k, penalty, tolerance).withColumn("cloud_id", F.lit(p)) for p in parts]
-        out = done[0]
-        for d in done[1:]:
-            out = out.unionByName(d)
-        return out.select(*cloud.columns)
-    found = self_search(cloud, Knn(max(k, 2))).select("qid", "nid", "rank")
-    lists = found.groupBy(F.col("qid").alias("pid")).agg(F.sort_array(F.collect_list(F.struct("rank", "nid"))).alias("near"))
-    whole = cloud.join(lists, "pid", "left").groupBy(F.lit(0).alias("one"))
+    by = ["cloud_id"] if "cloud_id" in cloud.columns else []
+    keyed = cloud.select(F.struct(*by, "pid").alias("pid"), *by, *XYZ)
+    found = knn_join(keyed.withColumnRenamed("pid", "qid"), keyed, max(k, 2), by=by)
+    lists = found.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("nid.pid").alias("nid")))).alias("near"))
+    joined = cloud.withColumn("_key", F.struct(*by, "pid")).join(lists.withColumnRenamed("qid", "_key"), "_key", "left").drop("_key")
+    whole = joined.groupBy(*(by or [F.lit(0).alias("one")]))
     names = cloud.columns
 
     def run(pdf):

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pointloom import geometry as G
 from pointloom import io, utility
@@ -118,6 +119,18 @@ def test_tangent_plane_orientation(spark, penalty):
     assert np.allclose(out[0], out[1]) and ((out[0] * p).sum(1) > 0).all()
 
 
+def test_tangent_plane_of_many_clouds(spark):
+    p = sphere(80)
+    signs = np.random.default_rng(11).choice([-1.0, 1.0], 80)[:, None]
+    one = G.PointCloud.from_numpy(spark, p, normals=p * signs).df
+    both = one.withColumn("cloud_id", F.lit("a")).unionByName(one.withColumn("x", F.col("x") + 0.5).withColumn("cloud_id", F.lit("b")))
+    out = NO.orient_consistently(both, 10).toPandas().sort_values(["cloud_id", "pid"])
+    want = NO.orient_consistently(one, 10).toPandas().sort_values("pid")
+    for name in "ab":
+        assert np.allclose(out[out["cloud_id"] == name][["nx", "ny", "nz"]], want[["nx", "ny", "nz"]])
+    assert out.columns.tolist() == both.columns
+
+
 def test_tangent_plane_bridges_parts():
     p = np.vstack([sphere(60), sphere(60, (10, 0, 0))])
     d2 = ((p[:, None] - p[None]) ** 2).sum(2)
