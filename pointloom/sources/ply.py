@@ -14,7 +14,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from pointloom.functions.formatting import general
@@ -358,6 +359,29 @@ class PlyFaces(DataSource):
         return _Reader(self.options["path"], True, [])
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Vertices of PLY files in any store that Spark reads, one file a task: path, pid, x, y, z and the first file's groups.
+
+    The data source above reads folders that executors mount, and splits large files; this one goes through Spark's readers.
+    A file that can't be read fails the query; of groups that only some files have, the others' rows are null.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    first = files.select(F.substring("content", 1, 1 << 16).alias("head")).first()
+    e = parse_header(bytes(first["head"])).element("vertex") if first else None
+    have = [name for name, _ in vertex_groups(e)] if e else []
+    columns = [*"xyz", *(NORMALS if "nx" in have else ()), *("rgb" if "red" in have else "")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                values = parse_points(content.as_py())
+                n = len(values["x"])
+                arrays = [pa.array([name.as_py()] * n, pa.string()), pa.array(np.arange(n), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(values[c]) if c in values else pa.nulls(n, pa.float64()) for c in columns]], ["path", "pid", *columns])
+
+    return files.mapInArrow(run, "path string, pid long, " + ", ".join(f"{c} double" for c in columns))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PlyVertices)
     spark.dataSource.register(PlyFaces)

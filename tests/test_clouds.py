@@ -257,6 +257,8 @@ def test_ply_round_trip(spark, tmp_path, ascii):
     assert np.allclose(back.points, p, atol=tolerance, rtol=tolerance) and np.allclose(back.colors, np.round(p * 255) / 255)
     ply.register(spark)
     assert spark.read.format("ply").load(path).count() == 50
+    other = ply.read(spark, str(tmp_path)).orderBy("pid").select("x", "y", "z", "nx", "r").toPandas()
+    assert np.allclose(other[["x", "y", "z"]], back.points) and np.allclose(other["r"], back.colors[:, 0])
     assert io.read_file_geometry_type(path) == io.CONTAINS_POINTS and not io.write_point_cloud(path, c.clear())
 
 
