@@ -104,6 +104,7 @@ def repeated_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFram
     met = written(met.select("row", "h1", "h2", "end", place.alias("place")), "met-windows")
     discard(known)
     first = met.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    first = written(first, "first-places")  # a table of its own: so the join can split a hot window's places over tasks
     later = met.join(first, ["h1", "h2"]).where(F.col("place") > F.col("first"))
     spans = later.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.col("place.start").alias("start"), "end"))).alias("spans"))
     merge = """aggregate(spans, cast(array() as array<struct<start:int,end:int>>), (a, x) -> if(size(a) > 0 and element_at(a, -1).end >= x.start,
