@@ -3,16 +3,18 @@
 Lengths are counted in words, so that one long line counts as much as many short ones:
 
 * a gram is the shortest run of lines from a place that has ``GRAM`` words;
-* a window is the shortest run of lines from a place that has ``RUN`` words; of the grams within it, that
-  with the least hash is its fingerprint (the last of equals), as in winnowing: any repeated run of ``RUN`` words
-  holds a whole window, so both places choose the same fingerprint;
+* a window is the shortest run of lines that has ``RUN`` words, once from each line on and once up to each line;
+  of the grams within it, that with the least hash is its fingerprint (the last of equals), as in winnowing:
+  both places of a repeated window choose the same fingerprint. Of a repeated run of ``RUN`` words each line with
+  words lies in a window within the run: in that from it on, or that up to it, or else in that from the run's start;
 * fingerprints that the corpus has once are dropped; the windows that chose one of the others are compared
   by 128 bits over their lines, each with the first place that has it;
 * windows found again extend each other in both directions: overlapping ones of a document are merged into
   one run, which is deleted. The first place of each window stays.
 
-So a line goes exactly if it lies in a run of ``RUN`` words or more that stands at an earlier place. Places
-are ordered by (doc_id, text hash, line). Hot lines make no pairs: each place meets a minimum.
+So a line with words goes exactly if it lies in a run of ``RUN`` words or more that stands at an earlier place; a line
+without words goes if it lies within a window that goes. Places are ordered by (doc_id, text hash, line). Hot
+lines make no pairs: each place meets a minimum.
 """
 
 from __future__ import annotations
@@ -54,7 +56,8 @@ def _ends(sizes: list[int], least: int) -> list[int]:
 def windows_of(text: str, run: int = RUN, gram: int = GRAM) -> list[tuple[int, int, int, int, int]]:
     """(start line, end line, fingerprint, two halves of the window's hash) of each window of a text.
 
-    Windows that begin with a line without words are left out: the next line's window is the same text.
+    Windows that begin or end with a line without words are left out: the next line's window is the same text.
+    A window that is the shortest both from its first line on and up to its last is given once.
     """
     lines, sizes = lines_of(text)
     if sum(sizes) < run:
@@ -62,12 +65,11 @@ def windows_of(text: str, run: int = RUN, gram: int = GRAM) -> list[tuple[int, i
     digests = [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) if n else b"" for x, n in zip(lines, sizes, strict=True)]
     gram_ends, ends = _ends(sizes, gram), _ends(sizes, run)
     prints = [xxhash.xxh3_64_intdigest(b"".join(digests[i:e])) - (1 << 63) if e > 0 and sizes[i] else None for i, e in enumerate(gram_ends)]
+    spans = [(i, end) for i, end in enumerate(ends) if end > 0 and sizes[i]]
+    upto = [(len(sizes) - end, len(sizes) - i) for i, end in enumerate(_ends(sizes[::-1], run)) if end > 0 and sizes[-1 - i]]
+    spans += [(i, end) for i, end in upto if ends[i] != end]
     out = []
-    for i, end in enumerate(ends):
-        if end < 0:
-            break
-        if not sizes[i]:
-            continue
+    for i, end in spans:
         least, at = None, i
         while at < end and 0 < gram_ends[at] <= end:
             if prints[at] is not None and (least is None or prints[at] <= least):
