@@ -263,14 +263,35 @@ class NormalAngle:
         return bool(~((nt * (ns @ m[:3, :3].T)).sum(1) < math.cos(self.normal_angle_threshold)).any())
 
 
+#: Correspondences that meet each other at once.
+EDGE_BLOCK = 2048
+
+
 def edge_length_check(source: DataFrame, target: DataFrame, pairs: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """One row, passed. For a few correspondences, as a hypothesis has."""
-    p = paired(source, target, pairs)
+    """One row, passed: over every pair of correspondences of different source points.
+
+    Correspondences are dealt by hash over blocks of about ``EDGE_BLOCK``. Pairs within a block come first; only if they all fit
+    do pairs of blocks follow. A task ends at the first pair that doesn't fit.
+    """
+    p = paired(source, target, pairs).select("source_id", "target_id", *[f"{k}{c}" for k in "st" for c in XYZ])
+    p = written(p, "correspondences")
+    n = max(1, -(-p.count() // EDGE_BLOCK))
+    p = p.withColumn("block", F.pmod(F.xxhash64("source_id", "target_id"), F.lit(n)).cast("int"))
     a, b = (p.select(*[F.col(c).alias(f"{k}_{c}") for c in p.columns]) for k in "ab")
     side = lambda k, c: vec([f"{k}_{c}{x}" for x in XYZ])
     ds, dt = (norm2(sub(side("a", c), side("b", c))) for c in "st")
     limit = F.lit(threshold * threshold)
-    return a.join(b, F.col("a_source_id") < F.col("b_source_id")).agg(F.coalesce(F.bool_and((ds >= dt * limit) & (dt >= ds * limit)), F.lit(True)).alias("passed"))
+    wrong = ~((ds >= dt * limit) & (dt >= ds * limit))
+    row = lambda passed: p.sparkSession.range(1).select(F.lit(passed).alias("passed"))
+    within = a.join(b, (F.col("a_block") == F.col("b_block")) & (F.col("a_source_id") < F.col("b_source_id")))
+    if not within.where(wrong).isEmpty():
+        return row(False)
+    if n == 1:
+        return row(True)
+    a = a.where(F.col("a_block") < n - 1).withColumn("a_other", F.explode(F.sequence(F.col("a_block") + 1, F.lit(n - 1))))
+    b = b.where("b_block > 0").withColumn("b_other", F.explode(F.sequence(F.lit(0), F.col("b_block") - 1)))
+    across = a.join(b, (F.col("a_block") == F.col("b_other")) & (F.col("a_other") == F.col("b_block")) & (F.col("a_source_id") != F.col("b_source_id")))
+    return across.where(wrong).limit(1).agg((F.count("*") == 0).alias("passed"))
 
 
 def distance_check(source: DataFrame, target: DataFrame, pairs: DataFrame, threshold: float, m=None) -> DataFrame:

@@ -518,8 +518,7 @@ _FEW_PAIRS = f"SELECT * FROM ({_PAIRED}) WHERE source_id < 40"
 
 @query(f"SELECT bool_and(ds >= dt * 0.81 AND dt >= ds * 0.81) AS passed FROM (SELECT {' + '.join(f'(a.s{c} - b.s{c}) * (a.s{c} - b.s{c})' for c in 'xyz')} AS ds, {' + '.join(f'(a.t{c} - b.t{c}) * (a.t{c} - b.t{c})' for c in 'xyz')} AS dt FROM ({_FEW_PAIRS}) a JOIN ({_FEW_PAIRS}) b ON a.source_id < b.source_id)")
 def check_edge_length(spark, sf_dir):
-    s, t, p = _pairs(spark, sf_dir)
-    return R.edge_length_check(s, t, p.where("source_id < 40"), 0.9)
+    return R.edge_length_check(*_pairs(spark, sf_dir), 0.9)
 
 
 @query(f"SELECT bool_and((sx - tx) * (sx - tx) + (sy - ty) * (sy - ty) + (sz - tz) * (sz - tz) <= 0.04) AS passed FROM ({_PAIRED})")
