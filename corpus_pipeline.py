@@ -1,7 +1,12 @@
 """Documents to packed sequences: quality, line dedup, near-dedup, decontamination, packing.
 
-A stage's result is stored before the next stage is called; so each stage begins by deleting what the
-operators of earlier stages have left in the shared folder, and the disk holds one stage's tables at a time.
+Each stage takes a documents table (doc_id, text, lang and any further columns) and all but the last return its
+columns. Null and empty texts fail the quality rules; where a stage is given them alone, the other stages keep them.
+Repeated rows are repeated rows, except in near_dedup, which keeps one of each group. Null ids are ids like any other
+that no label names. Empty tables give empty results at every stage.
+
+A stage's tables in the shared folder are deleted once no result reads them; each stage begins by seeing to that, so the
+disk holds one stage's tables at a time, and results of several runs can be alive together.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm.common import discard, release, scope, table, written
+from pointloom.llm.common import table, tidy, written
 from pointloom.llm.decontaminate import keep_clean
 from pointloom.llm.linededup import cut_repeats
 from pointloom.llm.packing import pack
@@ -24,9 +29,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def stage(fn: Stage) -> Stage:
     @wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, "pipeline stage")
-        with scope("pipeline stage"):
-            return fn(spark, docs, sf_dir)
+        tidy(spark)
+        return fn(spark, docs, sf_dir)
 
     return run_stage
 
@@ -77,7 +81,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over all documents, each written as Parquet and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        done = written(step(spark, docs, sf_dir), name)
-        discard(docs)
-        docs = done
+        docs = written(step(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

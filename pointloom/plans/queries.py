@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -23,7 +21,7 @@ from pointloom.operators import registration as R
 from pointloom.operators import transforms as T
 from pointloom.operators import voxels as V
 from pointloom.plans import tables as C
-from pointloom.plans.staging import scratch_dir, written
+from pointloom.plans.staging import new_path, put_bytes, written
 from pointloom.sources import ply, xyz
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -645,12 +643,8 @@ def xyz_parse(spark, sf_dir):
 
 @query(f"SELECT pid, x, y, z, nx, ny, nz FROM {EMB}")
 def ply_roundtrip(spark, sf_dir):
-    """Binary PLY written and read back by the data source, vertex for vertex."""
-    ply.register(spark)
+    """Binary PLY written to the shared folder and read back through Spark, vertex for vertex."""
     cloud = C.embedded(spark, sf_dir, normals=True).orderBy("pid").toPandas()
-    folder = scratch_dir(spark).removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, next(tempfile._get_candidate_names()) + ".ply")
-    with open(path, "wb") as f:
-        f.write(ply.encode({c: cloud[c].to_numpy() for c in (*XYZ, *NORMAL)}))
-    return spark.read.format("ply").load(path).select("pid", *XYZ, *NORMAL)
+    path = new_path(spark, "cloud") + ".ply"
+    put_bytes(spark, path, ply.encode({c: cloud[c].to_numpy() for c in (*XYZ, *NORMAL)}))
+    return ply.read(spark, path).select("pid", *XYZ, *NORMAL)
