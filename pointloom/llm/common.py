@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.plans.staging import discard, release, scope, scratch_dir, written
+from pointloom.plans.staging import discard, scratch_dir, tidy, written
 
-__all__ = ["az_lower", "bounded_sample", "crc_mod", "discard", "map_arrow", "release", "scope", "scratch_dir", "table", "unwrapped", "words_of", "wrapped", "written"]
+__all__ = ["az_lower", "crc_mod", "discard", "map_arrow", "scratch_dir", "table", "tidy", "unwrapped", "words_of", "wrapped", "written"]
 
 #: White space of the contracts, and what separates words made of letters and digits.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -49,20 +49,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
-
-
-def bounded_sample(rows: DataFrame, by: str, most: dict | int, groups: int) -> DataFrame:
-    """Of each of the ``groups`` commonest values of ``by``, the rows with the least hash of doc_id, ``most`` of them at most.
-
-    Counts come first: they give the share of hashes that holds that many rows, and nothing else is shuffled. So one
-    common value costs no more than a rare one. Adds nth, the row's number within its group.
-    """
-    counts = rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(groups).collect()
-    wanted = {r[by]: most if isinstance(most, int) else most[r[by]] for r in counts}
-    shares = {r[by]: min(1.0, (wanted[r[by]] + 8 * wanted[r[by]] ** 0.5 + 20) / r["n"]) for r in counts}
-    draw, choice, last = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), F.lit(False), F.lit(0)
-    for value, share in shares.items():
-        choice = F.when(F.col(by) == value, draw < int(share * (1 << 40)) + 1).otherwise(choice)
-        last = F.when(F.col(by) == value, wanted[value]).otherwise(last)
-    order = Window.partitionBy(by).orderBy(draw, "doc_id")
-    return rows.where(choice).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= last)
