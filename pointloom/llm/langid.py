@@ -1,10 +1,11 @@
 """Language identification by averaged hashed subword embeddings under a linear softmax.
 
-The model is fitted on the driver, by stochastic gradient descent in NumPy, to a bounded sample: ``PER_LANG`` documents of
-each of the ``MAX_LANGS`` commonest languages, those with the smallest id hashes. Each gives its whole text and one
-short stretch of it, so that short texts are learnt too. A fifth of the sample isn't learnt from: on it,
-the temperature of the softmax is fitted, and the least score that keeps the share of errors among accepted
-texts within ``ERRORS``, by an exact binomial bound. Every document is then scored whole, where it lies.
+The model is fitted on the driver, by stochastic gradient descent in NumPy, to a bounded sample: ``ROWS`` documents in all,
+dealt evenly to the languages that occur, those with the smallest hashes of id and text, and ``MAX_ENTRIES`` n-gram
+counts. Each gives its whole text and one short stretch of it, so that short texts are learnt too. A fifth of the
+sample isn't learnt from: on it, the temperature of the softmax is fitted, and the least score that keeps the share of
+errors among accepted texts within ``ERRORS``, by an exact binomial bound. Examples are fitted in the order of
+(language, hash), so scores don't depend on partitions. Every document is then scored whole, where it lies.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import bounded_sample, crc_mod, map_arrow, table
+from pointloom.llm.common import crc_mod, map_arrow, table
+from pointloom.llm.sampling import Bag, draw_of, sample
 from pointloom.llm.subwords import BagModel, counts, scores, softmax
 
 SIZES, BUCKETS, DIM = (2, 3, 4), 1 << 16, 8
-PER_LANG, MAX_LANGS, STRETCH = 1200, 40, 8
+#: Rows of one language and of all that the model may be fitted to, bag entries in all, and words of a short stretch.
+PER_LANG, ROWS, MAX_ENTRIES, STRETCH = 1200, 48_000, 20_000_000, 8
 EPOCHS, RATE, SCALE, DECAY = 6, 0.02, 20.0, 1e-5
 ERRORS, CONFIDENCE = 0.01, 0.95
 _LETTER = re.compile(r"[^\W\d_]").search
@@ -37,27 +40,20 @@ class Model(NamedTuple):
     least: float  # texts that score less are rejected
 
 
-def sample_of(docs: DataFrame, allowed: Column) -> DataFrame:
-    """(lang, text, nth) of the learning sample; nth numbers the rows of a language by their id's hash."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & allowed)
-    chosen = F.broadcast(bounded_sample(known.select("doc_id", "lang"), "lang", PER_LANG, MAX_LANGS))  # ids alone
-    return known.select("doc_id", "text").join(chosen, "doc_id").select("lang", "text", "nth")
+def rows_of(docs: DataFrame, allowed: Column) -> DataFrame:
+    """(label, draw, text) of all rows that may be learnt from."""
+    text = F.col("text").cast("string")
+    known = docs.where(F.col("lang").isNotNull() & text.isNotNull() & F.col("doc_id").isNotNull() & allowed)
+    return known.select(F.col("lang").cast("string").alias("label"), draw_of(F.col("doc_id"), text).alias("draw"), text.alias("text"))
 
 
-def bags_of(rows: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = [t.as_py() for t in part.column(1)]
-                words = [t.split() for t in texts]
-                begins = [n * 7919 % max(1, len(w) - STRETCH) for n, w in zip(part.column(2).to_pylist(), words, strict=True)]
-                short = [" ".join(w[b : b + STRETCH]) for w, b in zip(words, begins, strict=True)]
-                found = counts(texts + short, SIZES, BUCKETS)
-                lists = [pa.array([f[k].astype("i4") for f in found], pa.list_(pa.int32())) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([part.column(0)] * 2), pa.concat_arrays([part.column(2)] * 2), *lists], ["lang", "nth", "buckets", "counts"])
-
-    return map_arrow(rows.select("lang", F.col("text").cast("string"), F.col("nth").cast("long")), run, "lang string, nth long, buckets array<int>, counts array<int>")
+def whole_and_short(texts: list[str], draws: list[int]) -> list[list[Bag]]:
+    """The bags of each text and of a stretch of it, whose place the draw decides."""
+    words = [t.split() for t in texts]
+    begins = [d % max(1, len(w) - STRETCH) for d, w in zip(draws, words, strict=True)]
+    short = [" ".join(w[b : b + STRETCH]) for w, b in zip(words, begins, strict=True)]
+    found = counts(texts + short, SIZES, BUCKETS)
+    return [[found[i], found[len(texts) + i]] for i in range(len(texts))]
 
 
 def temperature_of(logits: np.ndarray, labels: np.ndarray) -> float:
@@ -80,13 +76,15 @@ def least_score(score: np.ndarray, right: np.ndarray, errors: float = ERRORS, co
 
 
 def train(docs: DataFrame, allowed: Column) -> Model:
-    got = bags_of(sample_of(docs, allowed)).toArrow()
-    langs = sorted(set(got["lang"].to_pylist()))
+    found = sample(rows_of(docs, allowed), lambda n: dict.fromkeys(n, max(1, min(PER_LANG, ROWS // len(n)))), MAX_ENTRIES, whole_and_short)
+    langs = sorted(set(found.labels))
     if not langs:
         return Model(["und"], np.zeros((BUCKETS, 1), "f4"), np.zeros(1), 1.0, 0.0)
-    y = np.array([langs.index(x) for x in got["lang"].to_pylist()])
-    bags = [(b.values.to_numpy(), c.values.to_numpy()) for b, c in zip(got["buckets"], got["counts"], strict=True)]
-    aside = got["nth"].to_numpy() % 5 == 0
+    number = {x: i for i, x in enumerate(langs)}
+    y = np.repeat([number[x] for x in found.labels], 2)
+    bags = [b for both in found.bags for b in both]
+    nth = np.concatenate([np.arange(n) for n in np.bincount(y[::2])])  # within the language, by draw
+    aside = np.repeat(nth % 5 == 4, 2)  # a language of few rows is learnt from first
     learn = np.flatnonzero(~aside)
     each = np.bincount(y[learn], minlength=len(langs))
     model = BagModel(BUCKETS, len(langs), DIM).fit([bags[i] for i in learn], y[learn], len(learn) / np.maximum(each, 1) / len(langs), EPOCHS, RATE, SCALE, decay=DECAY)
@@ -106,7 +104,7 @@ def identify(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     Learns from the texts and languages of rows that aren't held out; by default those with crc32(doc_id) mod 5 = 0
     are. Null texts and texts without a letter are ``und`` with score 0. ``accepted`` is false where the score
     is below the calibrated least one. Rows with null languages or ids are never learnt from, but judged. Repeated
-    rows are judged alike. An empty table gives an empty result. Other columns are ignored.
+    rows are judged alike and learnt from once; rows that share an id alone are examples of their own. An empty table gives an empty result. Other columns are ignored.
     """
     held = crc_mod(F.col("doc_id"), 5) == 0 if held_out is None else held_out
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, ~held))

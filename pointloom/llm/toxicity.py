@@ -1,20 +1,22 @@
 """Toxicity by averaged subword embeddings under a linear softmax.
 
 The model is fitted on the driver to a bounded sample of the labelled rows: ``PER_CLASS`` rows of each
-label at most, those with the smallest id hashes. Their n-gram counts, not their texts, are gathered, up to
-``MAX_ENTRIES`` in all. Every document is then scored whole, where it lies, without a shuffle.
+label at most, those with the smallest hashes of id and text, and ``MAX_ENTRIES`` n-gram counts in all, dealt to the
+labels in that proportion. The n-grams are counted on the executors and fitted in the order of the hashes, so
+scores don't depend on partitions. Every document is then scored whole, where it lies, without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import bounded_sample, crc_mod, map_arrow, table
+from pointloom.llm.common import crc_mod, map_arrow, table
+from pointloom.llm.sampling import below, draw_of, sample, share_for
 from pointloom.llm.subwords import BagModel, counts, scores, softmax
 
 SIZES, BUCKETS, DIM = (3, 4, 5), 1 << 18, 4
@@ -25,47 +27,27 @@ EPOCHS, RATE, SCALE, DECAY, WEIGHTS = 8, 0.02, 100.0, 1e-4, (1.0, 0.6)
 PAD, CUTOFF = 300, 0.3
 
 
-def bags_of(rows: DataFrame, sizes: Sequence[int] = SIZES, buckets: int = BUCKETS) -> DataFrame:
-    """(label, buckets, counts) of rows (label, text); the n-grams are counted on the executors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                found = counts([t.as_py() for t in part.column(1)], sizes, buckets)
-                lists = [pa.array([f[k].astype("i4") for f in found], pa.list_(pa.int32())) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["label", "buckets", "counts"])
-
-    return map_arrow(rows.select(F.col("label").cast("int"), F.col("text").cast("string")), run, "label int, buckets array<int>, counts array<int>")
-
-
-def gathered(bags: DataFrame, most: int = MAX_ENTRIES) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """The bags and their labels on the driver; bags that would take more than ``most`` entries in all are left out."""
-    got = bags.toArrow()
-    out, labels, total = [], [], 0
-    for label, b, c in zip(got["label"].to_pylist(), got["buckets"], got["counts"], strict=True):
-        total += len(b)
-        if total > most:
-            break
-        out.append((b.values.to_numpy(), c.values.to_numpy()))
-        labels.append(label)
-    return out, np.array(labels, "i8")
-
-
-def sample_of(labels: DataFrame, allowed: Column, per_class: Sequence[int] = PER_CLASS) -> DataFrame:
-    """(doc_id, label): of each label, the rows with the smallest hashes; a document with both labels counts as 1."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & allowed).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    return bounded_sample(known, "label", dict(enumerate(per_class)), 2).select("doc_id", "label")
+def ids_of(labels: DataFrame, allowed: Column) -> DataFrame:
+    """(doc_id, label) of the labelled ids with the smallest hashes, ``PER_CLASS`` of each label at most."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & allowed)
+    each = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label")).withColumn("draw", draw_of(F.col("doc_id")))
+    n = {r["label"]: r["n"] for r in each.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    got = each.where(below({k: share_for(PER_CLASS[k], v) for k, v in n.items()})).toArrow().to_pylist() if n else []
+    got.sort(key=lambda r: (r["draw"], r["doc_id"]))
+    chosen = [(r["doc_id"], r["label"]) for k in n for r in [r for r in got if r["label"] == k][: PER_CLASS[k]]]
+    return labels.sparkSession.createDataFrame(chosen, "doc_id long, label int")
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the n-grams and a bias, one column each; with no labelled rows of both kinds, zeros."""
-    chosen = F.broadcast(sample_of(labels, allowed))  # at most sum(PER_CLASS) ids
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").where("text is not null").dropDuplicates(["doc_id"])
-    bags, y = gathered(bags_of(rows))
-    if len(set(y.tolist())) < 2:
+    """Weights of the n-grams and a bias, one column each; without labelled rows of both kinds, zeros."""
+    chosen = F.broadcast(ids_of(labels, allowed))  # at most sum(PER_CLASS) ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = texts.join(chosen, "doc_id").withColumn("draw", draw_of(F.col("doc_id"), F.col("text")))
+    found = sample(rows, lambda _: dict(enumerate(PER_CLASS)), MAX_ENTRIES, lambda texts, _: [[b] for b in counts(texts, SIZES, BUCKETS)])
+    y = np.array(found.labels, "i8")
+    if len(set(found.labels)) < 2:
         return np.zeros((BUCKETS, 1), "f4"), np.zeros(1)
-    model = BagModel(BUCKETS, 2, DIM).fit(bags, y, np.array(WEIGHTS), EPOCHS, RATE, SCALE, decay=DECAY, pad=PAD)
+    model = BagModel(BUCKETS, 2, DIM).fit([b for b, in found.bags], y, np.array(WEIGHTS), EPOCHS, RATE, SCALE, decay=DECAY, pad=PAD)
     w, b = model.weights()
     return w[:, 1:] - w[:, :1], b[1:] - b[:1]
 
@@ -89,7 +71,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None)
 
     Labels of held-out ids are never used; by default those with crc32(doc_id) mod 4 = 2. Null and empty texts
     score by the bias alone. A null id is judged like any other and never learnt from. Repeated rows are scored
-    alike. Without labels of both kinds every score is 0.5. Empty tables give empty results. Only doc_id and text
+    alike and learnt from once; an id with several labels counts as toxic if one says so, and each of its texts is an example. Without labels of both kinds every score is 0.5. Empty tables give empty results. Only doc_id and text
     are read; texts are read whole, a megabyte at a time.
     """
     held = crc_mod(F.col("doc_id"), 4) == 2 if held_out is None else held_out
