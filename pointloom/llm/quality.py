@@ -1,28 +1,38 @@
 """Quality rules with risk-controlled thresholds: DataFrame functions only.
 
-Each rule rejects a document whose rate (say, symbols per word) exceeds a cutoff. Cutoffs come from
-labelled documents: within each stratum, a rule's candidate cutoffs are tested from the most lenient
-to the strictest, each against "more than ``risk`` of good documents are rejected", by the exact
-binomial tail. Testing stops at the first cutoff that isn't proven, so a sequence of tests costs one
-test's error; rules and strata share ``delta`` by Bonferroni. A stratum with too few good labels proves
-no cutoff, and the rule rejects nothing there.
+Each rule rejects a document whose rate (say, symbols per word) exceeds a cutoff. Cutoffs are learnt from the labelled
+documents: candidates are the rates of a stratum's good documents themselves, rounded up to a thousandth. Of ``n``
+good documents, ``k`` lie above a candidate. If P(Bin(n, ``risk``) <= k) is within the level, the candidate's true rate
+of false rejection is proven to be at most ``risk``: it is the exact binomial bound of an order statistic, so it holds
+however many candidates of a rule are looked at. Rules and strata share ``delta`` by Bonferroni. Of the proven candidates
+the strictest is taken that rejects at most ``SPARE`` of the good documents at hand, so that with many labels, which
+prove much, few clean documents go.
+
+With the parameters here a level is 0.05 / 20 = 0.0025, and a cutoff needs 197 good labels in a stratum: log(0.0025) / log(0.97). A
+stratum with fewer proves no cutoff, and the rules reject nothing there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import SPACE, table, unwrapped, words_of, wrapped, written
+from pointloom.llm.common import table, unwrapped, words_of, wrapped, written
 
-#: Candidate cutoffs of each rule, most lenient first.
-CUTOFFS = {
-    "symbol_rate": [3.0, 2.5, 2.0, 1.5, 1.0, 0.8, 0.6, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05],
-    "dup_line_rate": [0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35],
-    "repeat_word_rate": [0.48, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2],
-    "capital_rate": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2],
+#: Each rule's rate is that of these two counts; rates are compared in thousandths, rounded up.
+RULES = {
+    "symbol_rate": ("n_symbols", "n_words"),
+    "dup_line_rate": ("n_dup_lines", "n_lines"),
+    "repeat_word_rate": ("n_repeat_words", "n_words"),
+    "capital_rate": ("n_capitals", "word_chars"),
 }
-RISK, DELTA = 0.005, 0.05
+#: The share of good documents that a rule may reject in a stratum, how sure that is for all rules and strata together, and
+#: the share that a cutoff may reject of the labelled ones.
+RISK, DELTA, SPARE = 0.03, 0.05, 0.005
+#: Thousandths of the largest cutoff that a rule can have: so the table of candidates is bounded.
+TOP = 10_000
 #: Languages with cutoffs of their own; all others, and null, share the stratum ``other``.
 STRATA = ("de", "en", "es", "fr")
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -44,11 +54,10 @@ def measures(docs: DataFrame) -> DataFrame:
     covered = F.transform("places", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("places", i + 1) - p, F.lit(3))))
     out = out.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).cast("long"))
     out = out.withColumn("lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    chars = F.regexp_replace(text, SPACE, "")
     return out.select(
         *docs.columns,
         "n_words",
-        F.length(chars).cast("long").alias("word_chars"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.size(F.regexp_extract_all(text, F.lit(r"[#*$%&|<>]"), F.lit(0))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
@@ -58,8 +67,9 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def rates() -> dict[str, Column]:
-    over = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
-    return {"symbol_rate": over("n_symbols", "n_words"), "dup_line_rate": over("n_dup_lines", "n_lines"), "repeat_word_rate": over("n_repeat_words", "n_words"), "capital_rate": over("n_capitals", "word_chars")}
+    """Each rule's rate in thousandths, rounded up, in whole numbers."""
+    part = lambda a, b: F.coalesce(F.expr(f"(1000 * {a} + {b} - 1) div nullif({b}, 0)"), F.lit(0)).cast("long")
+    return {rule: part(*counts) for rule, counts in RULES.items()}
 
 
 def base_failed() -> Column:
@@ -70,38 +80,51 @@ def stratum(lang: Column) -> Column:
     return F.when(lang.isin(*STRATA), lang).otherwise(F.lit("other"))
 
 
+def log_factorial(x: Column) -> Column:
+    """Stirling's series, at x + 10 and brought down by the ten factors between: to about 1e-12."""
+    z = x + F.lit(11.0)
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    return series - F.log((x + 1.0) * (x + 2.0) * (x + 3.0) * (x + 4.0) * (x + 5.0)) - F.log((x + 6.0) * (x + 7.0) * (x + 8.0) * (x + 9.0) * (x + 10.0))
+
+
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(Bin(n, p) <= k), summed in logarithms term by term; 1 where k is at or above the mean."""
-    import math
+    """P(Bin(n, p) <= k), summed down from k; 1 where k is at or above the mean.
 
-    odds, none = math.log(p / (1 - p)), math.log1p(-p)
-    start = F.struct((n * F.lit(none)).alias("term"), (n * F.lit(none)).alias("sum"))
+    Below the mean terms fall at least as fast as a normal curve's, so those beyond 12 standard deviations and 60 more, under
+    1e-15 of the sum, are left out: the work grows with the root of n.
+    """
+    odds = (1 - p) / p
+    top = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * math.log(p) + (n - k) * math.log1p(-p)
+    terms = F.least(k, F.ceil(12 * F.sqrt(n * p * (1 - p))) + 60)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
 
     def step(a: Column, j: Column) -> Column:
-        term = a["term"] + F.log((n - j + 1) / j) + F.lit(odds)
-        top = F.greatest(a["sum"], term)
-        return F.struct(term.alias("term"), (top + F.log1p(F.exp(-F.abs(a["sum"] - term)))).alias("sum"))
+        at = k - j
+        term = a["term"] * (at + 1) / (n - at) * F.lit(odds)
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
 
-    some = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), start, step)["sum"]
-    return F.when(k >= n * F.lit(p), F.lit(1.0)).when(k == 0, F.exp(n * F.lit(none))).otherwise(F.exp(some))
+    some = F.when(k > 0, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(terms, F.lit(1)).cast("long")), start, step)["sum"]).otherwise(1.0)
+    return F.when(k >= n * F.lit(p), F.lit(1.0)).otherwise(F.exp(top) * some)
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, a cutoff column for each rule; null where nothing is proven): at most 5 rows.
+def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, spare: float = SPARE) -> DataFrame:
+    """(stratum, a cutoff in thousandths for each rule; null where nothing is proven): at most 5 rows.
 
     ``measured`` has the counts with doc_id and stratum. A document is good if any of its labels says so;
-    null labels and null ids are left out. Documents that the base rules reject don't count.
+    null labels and null ids are left out. Documents that the base rules reject don't count. Labelled rows are
+    counted by (stratum, rule, rate): at most 5 x 4 x ``TOP`` rows, however many labels there are.
     """
     good = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = measured.where(~base_failed()).join(good, "doc_id", "left_semi")
-    tests = [(rule, i, cut) for rule, cuts in CUTOFFS.items() for i, cut in enumerate(cuts)]
-    counted = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count(F.when(rates()[rule] > cut, 1)).alias(f"k{j}") for j, (rule, _, cut) in enumerate(tests)])
-    rows = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("nth"), F.lit(cut).alias("cut"), F.col(f"k{j}").alias("k")) for j, (rule, i, cut) in enumerate(tests)])).alias("t")
-    level = delta / (len(CUTOFFS) * (len(STRATA) + 1))
-    judged = counted.select("stratum", "n", rows).select("stratum", "t.*", (binomial_tail(F.col("t.k"), F.col("n"), risk) <= level).alias("proven"))
-    failed = judged.groupBy("stratum", "rule").agg(F.coalesce(F.min(F.when(~F.col("proven"), F.col("nth"))), F.lit(1_000)).alias("stop"))
-    best = judged.join(F.broadcast(failed), ["stratum", "rule"]).where("nth < stop").groupBy("stratum")  # 5 strata x 4 rules
-    return best.agg(*[F.min(F.when(F.col("rule") == rule, F.col("cut"))).alias(f"{rule}_cut") for rule in CUTOFFS])
+    each = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.least(rate, F.lit(TOP)).alias("cut")) for rule, rate in rates().items()])).alias("t")
+    counted = held.select("stratum", each).groupBy("stratum", "t.rule", "t.cut").agg(F.count("*").alias("n_at"))
+    over = Window.partitionBy("stratum", "rule").orderBy(F.desc("cut"))
+    above = F.coalesce(F.sum("n_at").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    candidates = counted.select("stratum", "rule", "cut", above.alias("k"), F.sum("n_at").over(Window.partitionBy("stratum", "rule")).alias("n"))
+    near = candidates.where((F.col("k") <= F.col("n") * F.lit(spare)) & (F.col("k") < F.col("n") * F.lit(risk)))
+    level = delta / (len(RULES) * (len(STRATA) + 1))
+    proven = near.where(binomial_tail(F.col("k"), F.col("n"), risk) <= level)
+    return proven.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == rule, F.col("cut"))).alias(f"{rule}_cut") for rule in RULES])
 
 
 def judged(measured: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -125,9 +148,10 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns alone.
+    """The rows of ``docs`` (doc_id, text, lang) that the rules keep, with their own columns alone.
 
-    Counts are taken once: they are written beside the documents, and the verdict is a filter on that table,
+    Null and empty texts fail the base rules and go. Repeated rows are judged alike. Rows with null ids are judged
+    but never learnt from; a null or unknown language is of the stratum ``other``. An empty table gives an empty result. Counts are taken once: they are written beside the documents, and the verdict is a filter on that table,
     so texts are never shuffled.
     """
     known = wrapped(docs).withColumns({"doc_id": F.col("d.doc_id"), "stratum": stratum(F.col("d.lang"))})
