@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -32,7 +33,8 @@ def simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def simhash_components(rows):
+def simhash_roots(rows, radius=2):
+    """The prints of the rows, and for each row the number of its component."""
     prints = [simhash(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -43,14 +45,28 @@ def simhash_components(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
+    return prints, [find(i) for i in range(len(rows))]
+
+
+def one_of_each(rows, radius=2):
+    """(doc_id, fingerprint) of the row of each component with the smallest id."""
+    prints, roots = simhash_roots(rows, radius)
+    best = {}
+    for i, r in enumerate(roots):
+        best[r] = min(best.get(r, (True, 0, i)), (rows[i][0] is None, rows[i][0] or 0, i))
+    return sorted((-1 if rows[i][0] is None else rows[i][0], f"{prints[i]:016x}") for _, _, i in best.values())
+
+
+def simhash_components(rows):
+    prints, roots = simhash_roots(rows)
     least = {}
     for i, (d, _) in enumerate(rows):
-        r = find(i)
+        r = roots[i]
         least[r] = min((x for x in (least.get(r), d) if x is not None), default=None)
-    return sorted((-1 if d is None else d, f"{p:016x}", -1 if least[find(i)] is None else least[find(i)]) for i, ((d, _), p) in enumerate(zip(rows, prints, strict=True)))
+    return sorted((-1 if d is None else d, f"{p:016x}", -1 if least[roots[i]] is None else least[roots[i]]) for i, ((d, _), p) in enumerate(zip(rows, prints, strict=True)))
 
 
 def contamination(rows, items, size=10):
@@ -82,20 +98,22 @@ def quality_counts(text):
 
 
 def cut_lines(rows, run=50):
-    """rows: (doc_id, text), documents in the order of places; rows that are equal are one document."""
+    """rows: (doc_id, text), documents in the order of places; rows that are equal are one document.
+
+    Runs of lines that have ``run`` words: the shortest from each line with words on, and the shortest up to each.
+    """
     seen, gone = set(), {}
     for key in sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0)):
         lines, cut = [tuple(BLANK.findall(x)) for x in key[1].split("\n")], set()
-        for i in range(len(lines)):
-            end, n = i, 0
-            while lines[i] and end < len(lines) and n < run:
-                n += len(lines[end])
-                end += 1
-            if not lines[i] or n < run:
-                continue
-            window = tuple(x for x in lines[i:end] if x)
+        runs = set()
+        for k in (k for k, x in enumerate(lines) if x):
+            ends = [e for e in range(k + 1, len(lines) + 1) if sum(map(len, lines[k:e])) >= run]
+            starts = [s for s in range(k + 1) if lines[s] and sum(map(len, lines[s : k + 1])) >= run]
+            runs |= {(k, e) for e in ends[:1]} | {(s, k + 1) for s in starts[-1:]}
+        for start, end in sorted(runs):
+            window = tuple(x for x in lines[start:end] if x)
             if window in seen:
-                cut.update(range(i, end))
+                cut.update(range(start, end))
             seen.add(window)
         gone[key] = cut
     return {key: "\n".join(x for i, x in enumerate(key[1].split("\n")) if i not in cut) for key, cut in gone.items()}
@@ -106,3 +124,31 @@ def base_scores(rows, held=7, rest=2):
     c = Counter(w for d, ws in tokens if crc(d, held) != rest for w in ws)
     n, v = sum(c.values()), len(c)
     return sorted((-1 if d is None else d, crc(d, held) == rest, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for d, ws in tokens)
+
+
+def fit_bags(bags, labels, weights, buckets, classes, dim, epochs, rate, scale, batch, decay, pad):
+    """A linear softmax over averaged embeddings by Adam, in whole matrices; only rows that a batch uses move."""
+    rng = np.random.default_rng(1)
+    emb, out, bias = rng.normal(0, 0.1, (buckets, dim)), rng.normal(0, 0.1, (dim, classes)), np.zeros(classes)
+    x = np.zeros((len(bags), buckets))
+    for i, (b, n) in enumerate(bags):
+        x[i, b] = n / max(1, n.sum() + pad) * scale
+    rng, step = np.random.default_rng(2), 0
+    params = [emb, out, bias]
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    for epoch in range(epochs):
+        order = rng.permutation(len(bags))
+        for k in range(0, len(order), batch):
+            now = order[k : k + batch]
+            step += 1
+            mean = x[now] @ params[0]
+            p = np.exp(mean @ params[1] + params[2])
+            p /= p.sum(1, keepdims=True)
+            error = (p - np.eye(classes)[labels[now]]) * weights[labels[now]][:, None] / len(now)
+            grads = [x[now].T @ (error @ params[1].T) + decay * params[0], mean.T @ error, error.sum(0)]
+            used = [np.flatnonzero(x[now].any(0)), slice(None), slice(None)]
+            for j, (g, u) in enumerate(zip(grads, used, strict=True)):
+                first[j][u] = 0.9 * first[j][u] + 0.1 * g[u]
+                second[j][u] = 0.999 * second[j][u] + 0.001 * g[u] ** 2
+                params[j][u] -= rate * (1 - epoch / epochs) * first[j][u] / (1 - 0.9**step) / (np.sqrt(second[j][u] / (1 - 0.999**step)) + 1e-8)
+    return params[0] @ params[1] * scale, params[2]
