@@ -6,8 +6,9 @@ window is looked up by its rarest. Rarity is counted over all documents. A looke
 window's start; bounds on position and length discard places where it would stick out of the document;
 then the document's words there are compared with the window's, word by word.
 
-Documents' shingles that no window has are dropped before anything is exploded, by a bitmap of fixed
-size that is set for every benchmark shingle; what passes by chance is dropped by the joins.
+Documents' shingles that no window has are dropped before anything is exploded, by a bitmap that is set for every
+benchmark shingle; what passes by chance is dropped by the joins. The bitmap has ``SPARSE`` bits for each shingle,
+counted first, and ``BITMAP`` bits at most: a benchmark too large for that only lets more places pass.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from pointloom.llm.common import NON_WORD, az_lower, table, unwrapped, words_of, wrapped, written
 
 WINDOW, SHINGLE = 10, 3
-#: Bits of the bitmap: 256 kB, whatever the benchmark's size.
-BITMAP = 1 << 21
+#: Bits of the bitmap for each shingle, and at most (16 MB).
+SPARSE, BITMAP = 32, 1 << 27
 
 
 def words(text: Column) -> Column:
@@ -46,15 +47,15 @@ def windows_of(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, Dat
     return written(windows.withColumn("shingles", hashes), "windows"), items
 
 
-def bitmap_of(windows: DataFrame) -> list[int]:
-    """A bit for each shingle hash's lowest bits, as longs; gathered as such, so never above BITMAP bits."""
-    slot = F.explode("shingles.h").alias("h")
-    bit = F.pmod(F.col("h"), F.lit(BITMAP))
-    rows = windows.select(slot).select((bit / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(h, {BITMAP}) % 64 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    out = [0] * (BITMAP // 64)
-    for r in rows.collect():
+def bitmap_of(windows: DataFrame) -> tuple[int, list[int]]:
+    """How many bits there are, a power of two, and the bits as longs: one is set for each shingle hash's lowest bits."""
+    n = windows.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    size = min(BITMAP, max(1 << 16, 1 << (SPARSE * n).bit_length()))
+    rows = windows.select(F.explode("shingles.h").alias("h")).selectExpr(f"cast(pmod(h, {size}) div 64 as int) AS at", f"shiftleft(1L, cast(pmod(h, {size}) % 64 as int)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    out = [0] * (size // 64)
+    for r in rows.toArrow().to_pylist():  # at most BITMAP / 64 rows
         out[r["at"]] = r["bits"]
-    return out
+    return size, out
 
 
 def shared(docs: DataFrame, windows: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -63,17 +64,17 @@ def shared(docs: DataFrame, windows: DataFrame, size: int = WINDOW) -> DataFrame
     Each place has its hash and the words from ``size - 1`` before it to ``size - 1`` after it, ``back`` of them before.
     """
     lengths = sorted(r[0] for r in windows.select(F.least("len", F.lit(SHINGLE))).distinct().collect())  # at most 1, 2, 3
-    bits = bitmap_of(windows)
+    size_of, bits = bitmap_of(windows)
     out = docs.withColumn("w", words(F.col("d.text"))).withColumn("n_words", F.size("w").cast("long"))
     if not lengths:
         return out.withColumn("found", F.expr("cast(array() as array<struct<k:int,p:int,h:bigint,back:int,near:array<string>>>)")).drop("w")
     spark = docs.sparkSession
-    held = spark.createDataFrame([(bits,)], "bits array<long>")  # one row of BITMAP bits
+    held = spark.createDataFrame([(bits,)], "bits array<long>")  # one row of at most BITMAP bits
     out = out.crossJoin(F.broadcast(held))
     parts = []
     for k in lengths:
         h = f"xxhash64({', '.join(f'get(w, i + {j})' for j in range(k))})"
-        known = f"getbit(get(bits, cast(pmod({h}, {BITMAP}) div 64 as int)), cast(pmod({h}, {BITMAP}) % 64 as int)) = 1"
+        known = f"getbit(get(bits, cast(pmod({h}, {size_of}) div 64 as int)), cast(pmod({h}, {size_of}) % 64 as int)) = 1"
         places = f"filter(sequence(0, size(w) - {k}), i -> {known})"
         parts.append(f"if(size(w) >= {k}, transform({places}, i -> named_struct('k', {k}, 'p', i, 'h', {h}, 'back', least(i, {size - 1}), 'near', slice(w, greatest(i - {size - 1}, 0) + 1, least(i, {size - 1}) + {size}))), array())")
     return out.withColumn("found", F.expr(f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0])).drop("w", "bits")
@@ -121,7 +122,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without a hit, with their own columns."""
+    """The rows of ``docs`` (doc_id, text) without a hit, with their own columns.
+
+    Null and empty texts have no words, so they stay, as do rows with null ids; repeated rows stay or go alike. Items without
+    words hit nothing; repeated items count once. Empty documents give an empty result; an empty benchmark drops nothing.
+    """
     windows, _ = windows_of(benchmark.select("item_id", F.col("text").cast("string").alias("text")), size)
     known = written(shared(wrapped(docs).withColumn("row", F.monotonically_increasing_id()), windows, size), "shared-docs")
     bad = written(occurrences(known.select("row", "n_words", "found"), windows).select("row").distinct(), "contaminated")
