@@ -152,3 +152,74 @@ def fit_bags(bags, labels, weights, buckets, classes, dim, epochs, rate, scale,
                 second[j][u] = 0.999 * second[j][u] + 0.001 * g[u] ** 2
                 params[j][u] -= rate * (1 - epoch / epochs) * first[j][u] / (1 - 0.9**step) / (np.sqrt(second[j][u] / (1 - 0.999**step)) + 1e-8)
     return params[0] @ params[1] * scale, params[2]
+
+
+def byte_tree(bodies, depth, p_min, gamma, ratio, pull):
+    """The kept byte contexts and their next-byte distributions, in dictionaries; b"" is the root."""
+    follow = defaultdict(Counter)
+    for body in bodies:
+        data = b"\n" * depth + body
+        for i in range(depth, len(data)):
+            for d in range(depth + 1):
+                follow[data[i - d : i]][data[i]] += 1
+    total = sum(follow[b""].values())
+    least = max(1.0, p_min * total)
+    level = {c for c in follow if len(c) == 1 and sum(follow[c].values()) >= least}
+    kept = {b"": {x: (follow[b""][x] + 1) / (total + 256) for x in range(256)}}
+    for _ in range(depth):
+        new = {}
+        for c in level:
+            base = next(kept[c[k:]] for k in range(1, len(c) + 1) if c[k:] in kept)
+            n = sum(follow[c].values())
+            smooth = {x: (follow[c][x] + pull * base[x]) / (n + pull) for x in range(256)}
+            raw = {x: follow[c][x] / max(n, 1) for x in range(256)}
+            change = {x: (raw[x] or smooth[x]) / base[x] for x in range(256)}
+            met = {x for b in bodies for x in b} | {10}
+            if any((raw[x] >= gamma or base[x] >= gamma) and (change[x] >= ratio or change[x] <= 1 / ratio) for x in met):
+                new[c] = smooth
+        kept |= new
+        level = {c + bytes([x]) for c in level for x, n in follow[c].items() if n >= least and (c + bytes([x]))[1:] in level}
+    return kept
+
+
+def tree_scores(rows, m, long=True):
+    """(doc_id, held_out, score) by both tiers; ``m`` has the constants and the hash that lets long contexts in."""
+    az = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    docs = [(-1 if d is None else d, crc(d, 7) == 2, b" ".join((t or "").encode().translate(az).split()) + b"\n") for d, t in rows]
+    kept = byte_tree([b for _, h, b in docs if not h], m.DEPTH, m.P_MIN, m.GAMMA, m.RATIO, m.PULL)
+
+    def words(body):
+        """(word with what ends it, its log10 by bytes) in order."""
+        data, out, start, log = b"\n" * m.DEPTH + body, [], m.DEPTH, 0.0
+        for i in range(m.DEPTH, len(data)):
+            context = next(data[i - d : i] for d in range(m.DEPTH, -1, -1) if data[i - d : i] in kept)
+            log += math.log10(kept[context][data[i]])
+            if data[i] in b" \n":
+                out.append((data[start : i + 1], log))
+                start, log = i + 1, 0.0
+        return out
+
+    def admitted(context):
+        data = np.frombuffer(context, "u1")
+        return m.Hashes(data).of(np.array([0]), np.array([len(data)]))[0] % m.ANCHOR == 0
+
+    each = [words(b) for _, _, b in docs]
+    after = defaultdict(lambda: defaultdict(list))
+    for (_, held, _), ws in zip(docs, each, strict=True):
+        for i in range(m.WORDS, len(ws)):
+            context = b"".join(w for w, _ in ws[i - m.WORDS : i])
+            if not held and admitted(context):
+                after[context][ws[i][0]].append(ws[i][1])
+    tables = {}
+    for context, nexts in after.items():
+        n = sum(map(len, nexts.values()))
+        if n >= 2 and sum(len(x) * math.log10(len(x) / n) - sum(x) for x in nexts.values()) >= m.GAIN:
+            tables[context] = (n, len(nexts), {w: len(x) for w, x in nexts.items()})
+    out = []
+    for (d, held, _), ws in zip(docs, each, strict=True):
+        score = 0.0
+        for i, (w, log) in enumerate(ws):
+            table = tables.get(b"".join(x for x, _ in ws[i - m.WORDS : i])) if long and i >= m.WORDS else None
+            score += math.log10((table[2].get(w, 0) + table[1] * 10**log) / (table[0] + table[1])) if table else log
+        out.append((d, held, score))
+    return out

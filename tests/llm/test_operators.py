@@ -77,6 +77,20 @@ def test_contamination(docs, benchmark, rows, size):
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(str(r) for r in rows if r not in bad)
 
 
+def test_a_full_bitmap_drops_nothing(docs, benchmark, rows, monkeypatch):
+    """With 64 bits for all shingles, nearly every place passes; the joins decide."""
+    items = [(r.item_id, r.text) for r in benchmark.collect()]
+    monkeypatch.setattr(decontaminate, "BITMAP", 64)
+    out = decontaminate.contamination(docs, benchmark)
+    assert got(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute.contamination(rows, items)
+
+
+def test_clean_rows_of_odd_tables(none, docs, benchmark):
+    assert decontaminate.keep_clean(none, benchmark).count() == 0
+    odd = docs.where("text is null or text = ''")
+    assert sorted(map(str, decontaminate.keep_clean(odd, benchmark).collect())) == sorted(map(str, odd.collect()))
+
+
 # ---- 3
 
 
@@ -260,6 +274,31 @@ def test_language_model(docs, rows):
     assert all(np.isfinite(s) and s < 0 for s in scores)
 
 
+def test_suffix_tree_equals_plain_dictionaries(spark):
+    """Both tiers, learnt and scored: tiny texts with repeated runs of words, copies and held-out rows."""
+    r = np.random.default_rng(11)
+    words = ["ab", "ba", "abc", "é", "c", "cab"]
+    runs = [" ".join(r.choice(words, 6)) for _ in range(4)]
+    texts = [" ".join([*r.choice(words, r.integers(0, 5)), *r.choice(runs, r.integers(0, 3))]) for _ in range(60)]
+    rows = [*enumerate([*texts, *texts[:10], "", None]), (None, "AB ab"), (3, "zz ü ab")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((-1 if x.doc_id is None else x.doc_id, x.held_out, round(x.score, 3)) for x in langmodel.score_texts(df).collect())
+    want = sorted((d, h, round(s, 3)) for d, h, s in brute.tree_scores(rows, langmodel))
+    assert len(found) == len(want)
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-3 for a, b in zip(found, want, strict=True))
+    assert any(abs(s - t) > 0.5 for (_, _, s), (_, _, t) in zip(want, sorted((d, h, round(s, 3)) for d, h, s in brute.tree_scores(rows, langmodel, long=False)), strict=True))
+
+
+def test_texts_that_occur_twice_score_apart(spark):
+    """What the long contexts gather grows with the corpus: copies are likelier, word for word, than single texts."""
+    r = np.random.default_rng(12)
+    texts = [" ".join("".join(r.choice(list("abcdefg"), 4)) for _ in range(400)) for _ in range(40)]
+    rows = [*enumerate(texts), *enumerate(texts[:10], 100)]
+    out = langmodel.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False))
+    score = {x.doc_id: x.score / x.n_tokens for x in out.collect()}
+    assert min(score[i] for i in range(10)) > max(score[i] for i in range(10, 40)) + 0.1
+
+
 def tree_of(bodies, depth=4, p_min=0.001, monkeypatch=None):
     pairs = np.zeros(65536, "i8")
     for b in bodies:
@@ -285,13 +324,14 @@ def test_tree_is_a_distribution_and_learns(monkeypatch):
     probs = 10 ** tree.log10.reshape(-1, tree.levels.size)
     met = tree.levels.symbols.max()
     assert np.allclose(probs[:, 1:].sum(1) + probs[:, 0] * (256 - met), 1, atol=1e-5)
-    own, other = langmodel.score_bodies(tree, [b"abc abc\n", b"cba dba\n"])
+    score = lambda bodies: langmodel.score_bodies(tree, bodies)[0]
+    own, other = score([b"abc abc\n", b"cba dba\n"])
     assert own > other
-    assert np.allclose(langmodel.score_bodies(tree, [bodies[0] * 3])[0], langmodel.score_bodies(tree, [bodies[0] * 3, b"x\n"])[0])
-    whole = langmodel.score_bodies(tree, [bodies[1] * 20])
+    assert np.allclose(score([bodies[0] * 3])[0], score([bodies[0] * 3, b"x\n"])[0])
+    whole = score([bodies[1] * 20])
     monkeypatch.setattr(langmodel, "SLICE", 64)
     monkeypatch.setattr(langmodel, "slices", lambda b, d, f=langmodel.slices: f(b, d, 64))
-    assert np.allclose(langmodel.score_bodies(tree, [bodies[1] * 20]), whole)
+    assert np.allclose(score([bodies[1] * 20]), whole)
 
 
 # ---- 8 and 10
