@@ -7,7 +7,8 @@
   dense cells are left after few candidates, and only queries in sparse places see wide rings.
 * In many dimensions there is no grid: blocks of both sides meet, each pair of blocks in one task.
 
-The 3-D kNN uses a nested loop below ``SMALL`` pairs, counted first.
+The 3-D kNN uses a nested loop below ``SMALL`` pairs, counted first. In every search, points with a NaN, infinite
+or null coordinate have no neighbours and are nobody's.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.vec import XYZ, norm2, sub, vec
-from pointloom.operators.bounds import bounds_of
 from pointloom.plans.staging import written
 
 SMALL, BLOCK = 5_000_000, 4096
@@ -43,6 +43,10 @@ class Hybrid:
     max_nn: int
 
 
+def finite(cloud: DataFrame, names: Sequence[str] = XYZ) -> DataFrame:
+    return cloud.where(f"{' + '.join(f'abs({c})' for c in names)} < double('Infinity')")
+
+
 def _queries(q: DataFrame) -> DataFrame:
     return q.select(F.col("qid"), *[F.col(c).cast("double").alias(f"q{c}") for c in XYZ])
 
@@ -61,23 +65,19 @@ def ranked(pairs: DataFrame, most: int | None = None) -> DataFrame:
     return (out if most is None else out.where(F.col("rank") <= most)).select("qid", "rank", "nid", "d2")
 
 
-def _cell(names, size: float) -> list[Column]:
-    return [F.floor(F.col(n) / F.lit(float(size))).cast("long") for n in names]
-
-
 def near_pairs(q: DataFrame, t: DataFrame, radius: float, carry: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
-    """(qid, nid, d2) of all pairs closer than ``radius`` (strictly). NaN coordinates have no neighbours.
+    """(qid, nid, d2) of all pairs closer than ``radius`` (strictly).
 
     ``carry``: columns of ``t`` to take along, as t_name; then both points come too, as s_x .. and t_x ...
     ``by``: columns of both that must be equal, such as the number of a cloud.
     """
     # Expression strings: building the same columns one call at a time takes longer than running them on small clouds.
-    cells = lambda names, shift: [f"cast(floor({n} / {float(radius)!r}D) as bigint){f' + {k}' if shift else ''} AS c{i}" for i, (n, k) in enumerate(zip(names, "abc", strict=True))]
-    asked = q.selectExpr("qid", *by, *[f"cast({c} as double) AS q{c}" for c in XYZ]).where("NOT isnan(qx + qy + qz)")
+    cells = lambda names, shift: [f"floor(least(greatest({n} / {float(radius)!r}D, -9e18D), 9e18D)){f' + {k}' if shift else ''} AS c{i}" for i, (n, k) in enumerate(zip(names, "abc", strict=True))]
+    asked = finite(q.selectExpr("qid", *by, *[f"cast({c} as double) AS q{c}" for c in XYZ]), ("qx", "qy", "qz"))
     for k in "abc":
         asked = asked.selectExpr("*", f"explode(array(-1L, 0L, 1L)) AS {k}")
     asked = asked.selectExpr("qid", *by, "qx", "qy", "qz", *cells(("qx", "qy", "qz"), True))
-    held = t.selectExpr("pid AS nid", *by, *[f"cast({c} as double) AS {c}" for c in XYZ], *[f"{c} AS t_{c}" for c in carry]).where("NOT isnan(x + y + z)")
+    held = finite(t.selectExpr("pid AS nid", *by, *[f"cast({c} as double) AS {c}" for c in XYZ], *[f"{c} AS t_{c}" for c in carry]))
     held = held.selectExpr("*", *cells(XYZ, False))
     d2 = "(qx - x) * (qx - x) + (qy - y) * (qy - y) + (qz - z) * (qz - z) AS d2"
     points = [f"q{c} AS s_{c}" for c in XYZ] if carry else []
@@ -114,45 +114,69 @@ def nearest_within(q: DataFrame, t: DataFrame, radius: float, carry: Sequence[st
     return best.selectExpr("qid", "m.nid", "m.d2", *[f"m.{c}" for c in rest])
 
 
-def spacing(t: DataFrame, n: int) -> float:
+def extent(cloud: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many points there are and the corners around them, in one job."""
+    row = cloud.agg(F.count(F.lit(1)), *[f(c).cast("double") for f in (F.min, F.max) for c in XYZ]).first()
+    corner = lambda values: np.array([0.0 if v is None else v for v in values])
+    return row[0], corner(row[1:4]), corner(row[4:7])
+
+
+def spacing(t: DataFrame) -> float:
     """A radius at which points of ``t`` have a few neighbours, in its dense places."""
-    return first_radius(t, 3, n, *bounds_of(t))
+    t = finite(t)
+    return first_radius(t, 3, *extent(t))
+
+
+#: Widths that one job looks at, each half of the one before.
+LEVELS = 8
 
 
 def first_radius(t: DataFrame, k: int, n: int, low: np.ndarray, high: np.ndarray) -> float:
-    """A cell width at which the cell around a point holds about k points, averaged over points, so dense places decide."""
+    """The widest of halving cell widths at which the cell around a point holds about k points, averaged over points, so dense places decide.
+
+    Points are counted by the narrowest cells; the wider ones are sums of those.
+    """
     span = float(np.max(high - low)) or 1.0
-    width = span / max(1.0, round(n ** (1 / 3)))
-    for _ in range(24):
-        sizes = t.groupBy(*[c.alias(f"c{i}") for i, c in enumerate(_cell(XYZ, width))]).agg(F.count("*").alias("n"))
-        mean = sizes.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
-        if mean <= 2 * k or width < span * 1e-7:
+    top = span / max(1.0, round(n ** (1 / 3)))
+    for _ in range(3):
+        least = top * 0.5 ** (LEVELS - 1)
+        cells = t.selectExpr(*[f"floor(({c} - {float(o)!r}D) / {least!r}D) AS c{i}" for i, (c, o) in enumerate(zip(XYZ, low, strict=True))]).groupBy("c0", "c1", "c2").agg(F.count("*").alias("n"))
+        wider = cells.selectExpr(f"explode(sequence(0, {LEVELS - 1})) AS level", "c0", "c1", "c2", "n").selectExpr("level", *[f"shiftright(c{i}, {LEVELS - 1} - level) AS c{i}" for i in range(3)], "n")
+        sizes = wider.groupBy("level", "c0", "c1", "c2").agg(F.sum("n").cast("double").alias("n"))
+        means = {r["level"]: r["mean"] for r in sizes.groupBy("level").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mean")).collect()}
+        for level in range(LEVELS):
+            if means.get(level, 0.0) <= 2 * k:
+                return top * 0.5**level
+        top = least / 2
+        if top < span * 1e-7:
             break
-        width *= max(0.25, min(0.7, (k / mean) ** 0.5))
-    return width
+    return top
 
 
 def knn_join(q: DataFrame, t: DataFrame, k: int, small: int = SMALL, by: Sequence[str] = ()) -> DataFrame:
     """The ``k`` nearest points of ``t`` to each query, itself included if it is there; of those with equal ``by`` columns."""
     if k <= 0:
         return radius_join(q, t, 0)
-    n_q, n_t = q.count(), t.count()
+    q, t = finite(q), finite(t)
+    (n_q, q_low, q_high), (n_t, low, high) = extent(q), extent(t)
     if n_q * n_t <= small and not by:
         return ranked(_queries(q).crossJoin(_targets(t)).select("qid", "nid", _d2().alias("d2")), k)
     least = min(k, n_t)
-    low, high = bounds_of(t)
-    q_low, q_high = bounds_of(q)
-    far = float(np.linalg.norm(np.fmax(high, q_high) - np.fmin(low, q_low))) * 1.001 + 1e-12
+    far = float(np.linalg.norm(np.maximum(high, q_high) - np.minimum(low, q_low))) * 1.001 + 1e-12
     radius = first_radius(t, k, n_t, low, high)
     left, done = q.select("qid", *by, *XYZ), None
+    met = Window.partitionBy("qid")
     while True:
-        found = written(ranked(near_pairs(left, t, min(radius, far), by=by), k), "ring")
-        full = found.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("qid")
-        if radius >= far:
-            return found if done is None else done.unionByName(found)
-        part = found.join(full, "qid", "left_semi")
+        last = radius >= far
+        pairs = near_pairs(left, t, min(radius, far), by=by)
+        nth = F.row_number().over(met.orderBy("d2", "nid")).cast("long")
+        found = pairs.select("qid", nth.alias("rank"), "nid", "d2", F.count("*").over(met).alias("n")).where(F.col("rank") <= k)
+        found = written(found if last else found.where(F.col("n") >= least), "ring")  # a query with too few looks again
+        part = found.select("qid", "rank", "nid", "d2")
         done = part if done is None else done.unionByName(part)
-        left = written(left.join(full, "qid", "left_anti"), "open-queries")
+        if last:
+            return done
+        left = written(left.join(part.where("rank = 1").select("qid"), "qid", "left_anti"), "open-queries")
         if left.isEmpty():
             return done
         radius *= 2

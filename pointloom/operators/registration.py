@@ -173,7 +173,7 @@ def rmse(source: DataFrame, target: DataFrame, pairs: DataFrame, estimation: Est
 def icp(source: DataFrame, target: DataFrame, max_distance: float, init=None, estimation: Estimation = Estimation(), criteria: IcpCriteria = IcpCriteria()) -> Result:
     """Iterative closest points. Each iteration is one job: nearest points, their count, error and the fit's sums.
 
-    The transformation enters the plan as literals over fixed tables, so plans don't grow with the iterations.
+    The transformation enters the plan as a table of one row beside fixed tables, so plans don't grow with the iterations.
     """
     if max_distance <= 0:
         raise ValueError("max_correspondence_distance must be positive")
@@ -186,7 +186,7 @@ def icp(source: DataFrame, target: DataFrame, max_distance: float, init=None, es
     n_target = target.count()
     if not total or not n_target:
         return Result(m)
-    shift, near = center_of(target), spacing(target, n_target)
+    shift, near = center_of(target), spacing(target)
 
     def step(m: np.ndarray) -> tuple[float, float, dict]:
         row = closest(source, target, max_distance, m, near).agg(F.sum("d2").alias("d2"), F.count(F.lit(1)).alias("count"), *(plane_sums() if estimation.plane else point_moments(shift, shift))).first().asDict()
@@ -306,10 +306,22 @@ def normal_check(source: DataFrame, target: DataFrame, pairs: DataFrame, angle:
     return paired(source, target, pairs).join(s, "source_id").agg(F.coalesce(F.bool_and(~(dot(_N(), turned) < F.lit(math.cos(angle)))), F.lit(True)).alias("passed"))
 
 
-def sampled_fitness(source: DataFrame, target: DataFrame, max_distance: float, m=None, most: int = 2048) -> DataFrame:
-    """One row as ``evaluation``, over every n-th source point; ids count from 0 without gaps."""
-    stride = max(1, source.count() // most)
-    return evaluation(source.where(F.col("pid") % stride == 0), target, max_distance, m)
+#: Source points that a hypothesis meets first, and how much less than the best one's share its share of them may be.
+SAMPLES, MARGIN = 2048, 0.02
+
+
+def every_nth(cloud: DataFrame, n: int, most: int = SAMPLES) -> DataFrame:
+    """Every (n // most)-th point by id, where ids are 0 .. n - 1; of other ids, as many by their hash."""
+    stride = max(1, n // most)
+    if stride == 1:
+        return cloud
+    low, high = cloud.agg(F.min("pid"), F.max("pid")).first()
+    return cloud.where((F.col("pid") if (low, high) == (0, n - 1) else F.xxhash64("pid")) % stride == 0)
+
+
+def sampled_fitness(source: DataFrame, target: DataFrame, max_distance: float, m=None, most: int = SAMPLES) -> DataFrame:
+    """One row as ``evaluation``, over every n-th source point."""
+    return evaluation(every_nth(source, source.count(), most), target, max_distance, m)
 
 
 def inlier_ratio(source: DataFrame, target: DataFrame, pairs: DataFrame, max_distance: float, m=None) -> DataFrame:
@@ -329,15 +341,25 @@ def _fit(estimation: Estimation, s: np.ndarray, t: np.ndarray, nt: np.ndarray |
     return umeyama((t - mt).T @ (s - ms) / len(s), float(((s - ms) ** 2).sum(1).mean()), ms, mt, estimation.with_scaling)
 
 
-def ransac(source: DataFrame, target: DataFrame, pairs: DataFrame, max_distance: float, estimation: Estimation = Estimation(), ransac_n: int = 3, checkers: Sequence = (), criteria: RansacCriteria = RansacCriteria(), batch: int = 256) -> Result:
+#: Correspondences that the driver holds, of at most 14 numbers each.
+MOST_PAIRS = 5_000_000
+
+
+def ransac(source: DataFrame, target: DataFrame, pairs: DataFrame, max_distance: float, estimation: Estimation = Estimation(), ransac_n: int = 3, checkers: Sequence = (), criteria: RansacCriteria = RansacCriteria(), batch: int = 256, chunk: int = 8) -> Result:
     """RANSAC over correspondences, reproducible under ``rng.seed``.
 
     Samples are drawn on the driver in iteration order. Hypotheses are fitted to ``ransac_n`` rows each, checked
-    cheaply there, and those left are scored a batch at a time by one job: hypotheses times sources, joined to the target's
-    grid and aggregated. The outcome is folded in iteration order; drawing stops at the confidence bound, and the engine
-    is put back to where a one-by-one run would have left it. Correspondences, ordered by their ids, must fit the driver.
+    cheaply there, and those left are scored a batch at a time on a sample of the source by one job: hypotheses times
+    points, joined to the target's grid and aggregated. A hypothesis without sampled inliers, or whose share of them falls short of
+    the best fitness by more than ``MARGIN``, is dropped; the others are scored on all points, ``chunk`` of them a job,
+    in iteration order, so that a good one spares the later ones. Drawing stops at the confidence bound, and the engine
+    is put back to where a one-by-one run would have left it. Correspondences, ordered by their ids, are counted before
+    they are gathered: more than ``MOST_PAIRS`` are refused.
     """
     check_pairs(source, target, pairs)
+    n_pairs = pairs.count()
+    if n_pairs > MOST_PAIRS:
+        raise ValueError(f"{n_pairs} correspondences; filter them to {MOST_PAIRS} at most")
     joined = paired(source, target, pairs)
     extra = []
     if has(source, NORMAL):
@@ -353,6 +375,9 @@ def ransac(source: DataFrame, target: DataFrame, pairs: DataFrame, max_distance:
     source = written(source.select("pid", *XYZ), "ransac-source")
     target = written(target.select("pid", *XYZ), "ransac-target")
     total = source.count()
+    whole = total // SAMPLES <= 1  # the sample is the source itself
+    sample = source if whole else written(every_nth(source, total), "ransac-sample")
+    n_sample = total if whole else sample.count()
     stride = max(1, len(frame) // 5000)
     best, budget, done = Result(), criteria.max_iteration, 0
 
@@ -366,6 +391,9 @@ def ransac(source: DataFrame, target: DataFrame, pairs: DataFrame, max_distance:
                 return rows
         return None
 
+    def hopeful(share: float) -> bool:
+        return share > 0 and not (best.fitness > 0 and share + MARGIN < best.fitness)
+
     while done < min(budget, criteria.max_iteration):
         states, tried = [], {}
         for itr in range(done, min(budget, criteria.max_iteration, done + batch)):
@@ -376,11 +404,18 @@ def ransac(source: DataFrame, target: DataFrame, pairs: DataFrame, max_distance:
             m = _fit(estimation, s[rows], t[rows], None if nt is None else nt[rows])
             if np.isfinite(m).all() and all(c.fits(s[rows], t[rows], m, None if ns is None else ns[rows], None if nt is None else nt[rows]) for c in checkers):
                 tried[itr] = m
-        scored = score_hypotheses(source, target, max_distance, tried) if tried else {}
+        met = score_hypotheses(sample, target, max_distance, tried) if tried else {}
+        shares = {itr: n / n_sample for itr, (n, _) in met.items()}
+        scored = met if whole else {}
         for itr in range(done, done + len(states)):
             if itr >= budget:
                 rng.restore(states[itr - done])
                 break
+            if not hopeful(shares.get(itr, 0.0)):
+                continue
+            if itr not in scored:
+                soon = [i for i in range(itr, done + len(states)) if hopeful(shares.get(i, 0.0))][:chunk]
+                scored = score_hypotheses(source, target, max_distance, {i: tried[i] for i in soon})
             n, d2 = scored.get(itr, (0, 0.0))
             if not n:
                 continue

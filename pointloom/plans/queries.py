@@ -184,8 +184,7 @@ _NAN, _INF = "CAST('nan' AS DOUBLE)", "CAST('inf' AS DOUBLE)"
 
 @query(f"WITH d AS (SELECT pid, CASE WHEN pid % 7 = 0 THEN {_NAN} ELSE x END AS x, CASE WHEN pid % 11 = 0 THEN -{_INF} ELSE y END AS y, z FROM {EMB}) SELECT pid, x, y, z FROM d WHERE NOT isnan(x) AND abs(y) <> {_INF}")
 def finite_filter(spark, sf_dir):
-    spoilt = C.embedded(spark, sf_dir).withColumns({"x": F.when(F.col("pid") % 7 == 0, float("nan")).otherwise(F.col("x")), "y": F.when(F.col("pid") % 11 == 0, float("-inf")).otherwise(F.col("y"))})
-    return T.remove_non_finite(spoilt)
+    return T.remove_non_finite(spoilt(spark, sf_dir))
 
 
 # ---- voxels
@@ -275,6 +274,28 @@ def knn_rings(spark, sf_dir):
     return N.knn_join(_q(cloud), cloud, 4, small=0)
 
 
+_SPOILT = f"(SELECT pid, CASE WHEN pid % 7 = 0 THEN {_NAN} ELSE x END AS x, CASE WHEN pid % 11 = 0 THEN -{_INF} ELSE y END AS y, z FROM {EMB})"
+_SOUND = f"(SELECT * FROM {_SPOILT} WHERE NOT isnan(x) AND abs(y) <> {_INF})"
+
+
+def spoilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh x is NaN, every eleventh y infinite."""
+    return C.embedded(spark, sf_dir).withColumns({"x": F.when(F.col("pid") % 7 == 0, float("nan")).otherwise(F.col("x")), "y": F.when(F.col("pid") % 11 == 0, float("-inf")).otherwise(F.col("y"))})
+
+
+@query(f"SELECT way, qid, rank, nid, d2 FROM ({sql_ranked(sql_pairs(_SOUND, _SOUND), 7)}), (VALUES ('loop'), ('rings')) AS w(way)")
+def knn_odd(spark, sf_dir):
+    """Points that aren't finite have no neighbours, whichever way they are searched."""
+    cloud = spoilt(spark, sf_dir)
+    loop, rings = (N.knn_join(_q(cloud), cloud, 7, small=n).withColumn("way", F.lit(way)) for way, n in (("loop", 10**12), ("rings", 0)))
+    return loop.unionByName(rings).select("way", "qid", "rank", "nid", "d2")
+
+
+@query(sql_ranked(sql_pairs(_SOUND, _SOUND, f"{_D2} < {num(RADIUS)} * {num(RADIUS)}"), 5))
+def hybrid_odd(spark, sf_dir):
+    return N.self_search(spoilt(spark, sf_dir), N.Hybrid(RADIUS, 5))
+
+
 @query(sql_ranked(sql_pairs(EMB, EMB, f"{_D2} < {num(RADIUS)} * {num(RADIUS)}")))
 def radius(spark, sf_dir):
     return N.self_search(C.embedded(spark, sf_dir), N.Radius(RADIUS))
@@ -290,7 +311,6 @@ def hybrid(spark, sf_dir):
     return N.hybrid_join(_q(C.embedded(spark, sf_dir)), C.embedded(spark, sf_dir, C.SHIFT), MAX_D, 5)
 
 
-_NN1 = f"SELECT qid, arg_min(nid, (d2, nid)) AS nid, min(d2) AS d2 FROM ({sql_pairs(EMB, TGT, f'{_D2} < {num(MAX_D)} * {num(MAX_D)}')}) GROUP BY qid"
 _NN1 = f"SELECT qid, nid, d2 FROM ({sql_ranked(sql_pairs(EMB, TGT, f'{_D2} < {num(MAX_D)} * {num(MAX_D)}'), 1)})"
 
 
@@ -511,10 +531,7 @@ def info_matrix(spark, sf_dir):
     return R.paired(*_pairs(spark, sf_dir)).agg(*R.information_sums())
 
 
-_FEW_PAIRS = f"SELECT * FROM ({_PAIRED}) WHERE source_id < 40"
-
-
-@query(f"SELECT bool_and(ds >= dt * 0.81 AND dt >= ds * 0.81) AS passed FROM (SELECT {' + '.join(f'(a.s{c} - b.s{c}) * (a.s{c} - b.s{c})' for c in 'xyz')} AS ds, {' + '.join(f'(a.t{c} - b.t{c}) * (a.t{c} - b.t{c})' for c in 'xyz')} AS dt FROM ({_FEW_PAIRS}) a JOIN ({_FEW_PAIRS}) b ON a.source_id < b.source_id)")
+@query(f"SELECT bool_and(ds >= dt * 0.81 AND dt >= ds * 0.81) AS passed FROM (SELECT {' + '.join(f'(a.s{c} - b.s{c}) * (a.s{c} - b.s{c})' for c in 'xyz')} AS ds, {' + '.join(f'(a.t{c} - b.t{c}) * (a.t{c} - b.t{c})' for c in 'xyz')} AS dt FROM ({_PAIRED}) a JOIN ({_PAIRED}) b ON a.source_id < b.source_id)")
 def check_edge_length(spark, sf_dir):
     return R.edge_length_check(*_pairs(spark, sf_dir), 0.9)
 
@@ -563,10 +580,11 @@ def icp_p2p_transform(spark, sf_dir):
     return _matrix_rows(spark, R.icp(*_pair(spark, sf_dir), MAX_D).transformation)
 
 
-@query()
+@query(_KNOWN)
 def icp_p2l(spark, sf_dir):
+    """Recovers the known shift along the targets' normals."""
     s, t = C.embedded(spark, sf_dir), NO.estimate(C.embedded(spark, sf_dir, C.SHIFT), N.Knn(20))
-    return _matrix_rows(spark, R.icp(s, t, MAX_D, estimation=R.Estimation(plane=True), criteria=R.IcpCriteria(max_iteration=10)).transformation)
+    return _matrix_rows(spark, R.icp(s, t, MAX_D, estimation=R.Estimation(plane=True)).transformation)
 
 
 @query(_KNOWN)
@@ -580,14 +598,15 @@ def ransac_correspondence(spark, sf_dir):
     return _matrix_rows(spark, found.transformation)
 
 
-@query()
+@query(_KNOWN)
 def ransac_feature(spark, sf_dir):
+    """The descriptors don't see the shift: they match each point to its own, and the motion is the known one."""
     rng.seed(11)
     s = NO.estimate(C.embedded(spark, sf_dir), N.Knn(15))
     t = NO.estimate(C.embedded(spark, sf_dir, C.SHIFT), N.Knn(15))
     pairs = FE.correspondences(written(FE.fpfh(s, N.Knn(25)), "fs"), written(FE.fpfh(t, N.Knn(25)), "ft"), mutual_filter=True)
     found = R.ransac(s, t, written(pairs, "pairs"), 0.075, checkers=[R.Distance(0.075)], criteria=R.RansacCriteria(500, 0.999))
-    return _matrix_rows(spark, found.transformation, 3)
+    return _matrix_rows(spark, found.transformation)
 
 
 # ---- meshes and rotations
