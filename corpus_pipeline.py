@@ -23,6 +23,9 @@ from pointloom.llm.packing import pack
 from pointloom.llm.quality import keep_good
 from pointloom.llm.simhash import keep_one
 
+#: Bits in which the fingerprints of near-duplicates may differ: as many as the two segments find without further look-ups.
+NEAR = 3
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -50,7 +53,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that with the smallest id."""
-    return keep_one(docs)
+    return keep_one(docs, NEAR)
 
 
 @stage
