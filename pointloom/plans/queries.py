@@ -396,11 +396,6 @@ def normals_slow(spark, sf_dir):
     return out.select("pid", *[(F.round(F.abs(n), 5) + F.lit(0.0)).alias(n) for n in NORMAL])
 
 
-@query()
-def orient_tangent_plane(spark, sf_dir):
-    return NO.orient_consistently(NO.estimate(C.embedded(spark, sf_dir), N.Knn(15)), 10).select("pid", *NORMAL)
-
-
 # ---- features
 
 UNIT = f"(SELECT pid, x, y, z, x / sqrt(x * x + y * y + z * z) AS nx, y / sqrt(x * x + y * y + z * z) AS ny, z / sqrt(x * x + y * y + z * z) AS nz FROM {EMB})"
@@ -667,3 +662,6 @@ def ply_roundtrip(spark, sf_dir):
     path = new_path(spark, "cloud") + ".ply"
     put_bytes(spark, path, ply.encode({c: cloud[c].to_numpy() for c in (*XYZ, *NORMAL)}))
     return ply.read(spark, path).select("pid", *XYZ, *NORMAL)
+
+
+from pointloom.plans import interface  # noqa: E402, F401  # registers its queries beside these

@@ -37,7 +37,8 @@ def scratch_dir(spark: SparkSession) -> str:
         if not top and not (master.split("[")[0] == "local"):
             raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         top = top or "file://" + tempfile.mkdtemp(prefix="pointloom-")
-        _scratch[app] = f"{top.rstrip('/')}/tables-{app}"
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/tables-{app}")
+        _scratch[app] = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
         atexit.register(_remove, spark, _scratch[app])
     return _scratch[app]
 
