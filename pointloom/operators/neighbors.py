@@ -65,24 +65,27 @@ def ranked(pairs: DataFrame, most: int | None = None) -> DataFrame:
     return (out if most is None else out.where(F.col("rank") <= most)).select("qid", "rank", "nid", "d2")
 
 
-def near_pairs(q: DataFrame, t: DataFrame, radius: float, carry: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+def near_pairs(q: DataFrame, t: DataFrame, radius: float, carry: Sequence[str] = (), by: Sequence[str] = (), loop: bool = False) -> DataFrame:
     """(qid, nid, d2) of all pairs closer than ``radius`` (strictly).
 
     ``carry``: columns of ``t`` to take along, as t_name; then both points come too, as s_x .. and t_x ...
-    ``by``: columns of both that must be equal, such as the number of a cloud.
+    ``by``: columns of both that must be equal, such as the number of a cloud. ``loop``: for counted, small sides, a nested
+    loop without a shuffle in place of the cells.
     """
     # Expression strings: building the same columns one call at a time takes longer than running them on small clouds.
     cells = lambda names, shift: [f"floor(least(greatest({n} / {float(radius)!r}D, -9e18D), 9e18D)){f' + {k}' if shift else ''} AS c{i}" for i, (n, k) in enumerate(zip(names, "abc", strict=True))]
     asked = finite(q.selectExpr("qid", *by, *[f"cast({c} as double) AS q{c}" for c in XYZ]), ("qx", "qy", "qz"))
-    for k in "abc":
-        asked = asked.selectExpr("*", f"explode(array(-1L, 0L, 1L)) AS {k}")
-    asked = asked.selectExpr("qid", *by, "qx", "qy", "qz", *cells(("qx", "qy", "qz"), True))
     held = finite(t.selectExpr("pid AS nid", *by, *[f"cast({c} as double) AS {c}" for c in XYZ], *[f"{c} AS t_{c}" for c in carry]))
-    held = held.selectExpr("*", *cells(XYZ, False))
     d2 = "(qx - x) * (qx - x) + (qy - y) * (qy - y) + (qz - z) * (qz - z) AS d2"
     points = [f"q{c} AS s_{c}" for c in XYZ] if carry else []
-    found = asked.join(held, [*by, "c0", "c1", "c2"]).selectExpr("qid", "nid", d2, *points, *[f"t_{c}" for c in carry])
-    return found.where(f"d2 < {float(radius) ** 2!r}D")
+    if loop and not by:
+        both = asked.crossJoin(F.broadcast(held))
+    else:
+        for k in "abc":
+            asked = asked.selectExpr("*", f"explode(array(-1L, 0L, 1L)) AS {k}")
+        asked = asked.selectExpr("qid", *by, "qx", "qy", "qz", *cells(("qx", "qy", "qz"), True))
+        both = asked.join(held.selectExpr("*", *cells(XYZ, False)), [*by, "c0", "c1", "c2"])
+    return both.selectExpr("qid", "nid", d2, *points, *[f"t_{c}" for c in carry]).where(f"d2 < {float(radius) ** 2!r}D")
 
 
 def radius_join(q: DataFrame, t: DataFrame, radius: float) -> DataFrame:
@@ -99,16 +102,16 @@ def hybrid_join(q: DataFrame, t: DataFrame, radius: float, max_nn: int) -> DataF
     return ranked(near_pairs(q, t, radius), max_nn)
 
 
-def nearest_within(q: DataFrame, t: DataFrame, radius: float, carry: Sequence[str] = (), near: float | None = None) -> DataFrame:
+def nearest_within(q: DataFrame, t: DataFrame, radius: float, carry: Sequence[str] = (), near: float | None = None, loop: bool = False) -> DataFrame:
     """(qid, nid, d2) of the nearest point closer than ``radius``: an aggregate with partial minima, no ranking.
 
     ``near``: a smaller radius within which most queries find a point, and so their nearest one; only the others then
-    look through the wide cells.
+    look through the wide cells. ``loop`` as in ``near_pairs``.
     """
-    if near is not None and 0 < near * 1.5 < radius:
+    if not loop and near is not None and 0 < near * 1.5 < radius:
         soon = nearest_within(q, t, near, carry)
         return soon.unionByName(nearest_within(q.join(soon.select("qid"), "qid", "left_anti"), t, radius, carry))
-    pairs = near_pairs(q, t, radius, carry)
+    pairs = near_pairs(q, t, radius, carry, loop=loop)
     rest = [c for c in pairs.columns if c not in ("qid", "nid", "d2")]
     best = pairs.groupBy("qid").agg(F.expr(f"min(struct({', '.join(['d2', 'nid', *rest])}))").alias("m"))
     return best.selectExpr("qid", "m.nid", "m.d2", *[f"m.{c}" for c in rest])

@@ -182,15 +182,23 @@ def oriented(points: np.ndarray, normals: np.ndarray, edges: np.ndarray, ranks:
     return normals
 
 
+#: Points of one cloud that a task holds with their neighbours.
+MOST_POINTS = 2_000_000
+
+
 def orient_consistently(cloud: DataFrame, k: int, penalty: float = 0.0, tolerance: float = 1.0) -> DataFrame:
     """Normals with consistent signs: neighbours by a distributed join, then one spanning tree for each cloud.
 
     Trees are serial by nature. Clouds are told apart by the column cloud_id, where there is one: their neighbours are found
-    by one search, and they are oriented in parallel, each in one task; one cloud must fit into a task's memory.
+    by one search, and they are oriented in parallel, each in one task; one cloud must fit into a task's memory, so
+    clouds of more than ``MOST_POINTS`` points, counted first, are refused.
     """
     if not has(cloud, NORMAL):
         raise RuntimeError("No normals in the PointCloud. Call estimate_normals() first.")
     by = ["cloud_id"] if "cloud_id" in cloud.columns else []
+    most = cloud.groupBy(*by).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    if most > MOST_POINTS:
+        raise ValueError(f"a cloud of {most} points; orient parts of at most {MOST_POINTS}")
     keyed = cloud.select(F.struct(*by, "pid").alias("pid"), *by, *XYZ)
     found = knn_join(keyed.withColumnRenamed("pid", "qid"), keyed, max(k, 2), by=by)
     lists = found.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("nid.pid").alias("nid")))).alias("near"))

@@ -30,9 +30,11 @@ def down_sample(cloud: DataFrame, size: float, origin: Sequence[float] | None =
     """One point for each occupied voxel: the mean of its points and colours, and the direction of its normals' sum.
 
     The grid starts at the cloud's minimum, unless told where. NaN normals don't add to the sum. Result columns: pid
-    (a hash of the voxel), x, y, z and what the cloud has of normals and colours.
+    (the voxel's number in its grid; a hash of it where the grid's cells can't be numbered in 63 bits, or where the grid
+    is told), x, y, z and what the cloud has of normals and colours.
     """
     _check_size(size)
+    pid = F.xxhash64(*VOXEL)
     if origin is None:
         low, high = bounds_of(cloud)
         if np.isnan(low).any():
@@ -40,13 +42,17 @@ def down_sample(cloud: DataFrame, size: float, origin: Sequence[float] | None =
         if size * INT_MAX < float(np.max(high - low)) + 1e-9:
             raise ValueError("voxel_size is too small.")
         origin = low
+        wide = [int(w // size) + 2 if np.isfinite(w) else 1 << 63 for w in high - low]
+        if wide[0] * wide[1] * wide[2] < 1 << 63:
+            x, y, z = (F.col(v).cast("long") for v in VOXEL)
+            pid = (x * F.lit(wide[1]) + y) * F.lit(wide[2]) + z
     n = F.count(F.lit(1))
     mean = [(F.sum(c) / n).alias(c) for c in XYZ]
     bare = F.isnan("nx") | F.isnan("ny") | F.isnan("nz") if has(cloud, NORMAL) else None
     mean += [(F.coalesce(F.sum(F.when(~bare, F.col(c))), F.lit(0.0)) / n).alias(c) for c in NORMAL] if bare is not None else []
     mean += [(F.sum(c) / n).alias(c) for c in COLOR] if has(cloud, COLOR) else []
     cells = [cell_index(c, o, size).alias(v) for c, o, v in zip(XYZ, origin, VOXEL, strict=True)]
-    out = cloud.groupBy(*cells).agg(*mean).withColumn("pid", F.xxhash64(*VOXEL)).drop(*VOXEL)
+    out = cloud.groupBy(*cells).agg(*mean).withColumn("pid", pid).drop(*VOXEL)
     out = out.select("pid", *[c for c in out.columns if c != "pid"])
     return normalize_normals(out) if bare is not None else out
 
