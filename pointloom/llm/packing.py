@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pointloom.llm.common import map_arrow, table, written
 
 CAPACITY, END = 1024, 2
+#: Pieces that a task holds before it gives them on.
+FLUSH = 4096
 TOKENIZER = "byte_bpe_50k.json"
 
 _encoders: dict[str, "Encoder"] = {}
@@ -84,25 +86,29 @@ def encoder(path: str) -> Encoder:
 def pieces_of(docs: DataFrame, capacity: int, end: int, tokenizer: str, keep_ids: bool) -> DataFrame:
     """One row per piece, with ``task`` and ``nth``: its number among the task's pieces of its length."""
 
+    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "nth": pa.int64()} | ({"ids": pa.list_(pa.int32())} if keep_ids else {}) | {"task": pa.int64()}
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, stop = encoder(tokenizer_path(tokenizer)), np.array([end], "<u4").tobytes()
-        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, "i8")
+        task, seen, rows = TaskContext.get().partitionId(), np.zeros(capacity + 1, "i8"), []
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32", "nth", *(["ids"] if keep_ids else []))}
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids = encode(text.as_py() or "") + stop
                 n, doc = len(ids) // 4, doc_id.as_py()
                 first = n if n <= capacity else n % capacity or capacity
                 for piece, (a, b) in enumerate(zip([0, *range(first, n, capacity)], [*range(first, n + 1, capacity)], strict=True)):
                     part = ids[4 * a : 4 * b]
-                    for name, value in (("doc_id", doc), ("piece", piece), ("start", a), ("length", b - a), ("ids_crc32", zlib.crc32(part)), ("nth", seen[b - a])):
-                        out[name].append(value)
-                    if keep_ids:
-                        out["ids"].append(np.frombuffer(part, "<i4"))
+                    kept = (np.frombuffer(part, "<i4"),) if keep_ids else ()
+                    rows.append((doc, piece, a, b - a, zlib.crc32(part), int(seen[b - a]), *kept, task))
                     seen[b - a] += 1
-            kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "ids": pa.list_(pa.int32())}
-            arrays = {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()}
-            yield pa.RecordBatch.from_pydict(arrays | {"task": pa.array(np.full(len(out["piece"]), task), pa.int64())})
+                    if len(rows) == FLUSH:
+                        yield batch_of(rows)
+                        rows = []
+        if rows:
+            yield batch_of(rows)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long" + ", ids array<int>" * keep_ids + ", task long"
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
