@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,16 +201,70 @@ def self_search(cloud: DataFrame, param: Knn | Radius | Hybrid) -> DataFrame:
     return search(cloud.withColumnRenamed("pid", "qid"), cloud, param)
 
 
-def feature_knn(q: DataFrame, t: DataFrame, k: int = 1, block: int = BLOCK) -> DataFrame:
+def _top(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and squared distances of the ``k`` nearest rows of ``b`` to each row of ``a``, equal distances by id."""
+    d2 = np.zeros((len(a), len(b)))
+    for d in range(a.shape[1]):  # exact differences: no cancellation, memory bounded by one plane
+        d2 += (a[:, d, None] - b[None, :, d]) ** 2
+    order = np.lexsort((np.broadcast_to(ids, d2.shape), d2), axis=1)[:, :k]
+    return ids[order], np.take_along_axis(d2, order, 1)
+
+
+def _rows(asked: np.ndarray, near: np.ndarray, d2: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, near.shape[1])), pa.array(near.ravel()), pa.array(d2.ravel())], ["qid", "nid", "d2"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+#: Rows of a side that every task may hold, 64 numbers each being 4 MB.
+HELD = 8192
+
+
+def feature_knn(q: DataFrame, t: DataFrame, k: int = 1, block: int = BLOCK, held: int = HELD) -> DataFrame:
     """The ``k`` nearest of ``t`` (pid, feat) to each of ``q`` (qid, feat), in any number of dimensions.
 
-    Both sides are dealt into blocks by hash; each pair of blocks is one task, which keeps ``k`` rows a query.
+    Where one side, counted first, has at most ``held`` rows, every task holds it, and the other stays where it is: a task
+    has the nearest of its own rows, ``k`` for each query. Otherwise both sides are dealt into blocks by hash; each
+    pair of blocks is one task, which keeps ``k`` rows a query.
     """
     q = q.select("qid", F.col("feat").cast("array<double>").alias("qf"))
     t = t.select(F.col("pid").alias("nid"), F.col("feat").cast("array<double>").alias("tf"))
     n_q, n_t = q.count(), t.count()
     if not n_q or not n_t:
         return ranked(q.crossJoin(t.limit(0)).select("qid", "nid", F.lit(0.0).alias("d2")), k)
+    schema = f"qid {dict(q.dtypes)['qid']}, nid {dict(t.dtypes)['nid']}, d2 double"
+    if min(n_q, n_t) <= held:
+        small = (q if n_q < n_t else t).toArrow().combine_chunks()
+        shared = q.sparkSession.sparkContext.broadcast((small.column(0).to_numpy(), _matrix(small.column(1).combine_chunks())))
+
+        def of_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, b = shared.value
+            for batch in batches:
+                a, asked = _matrix(batch.column(1)), batch.column(0).to_numpy()
+                for s in range(0, len(a), 256):
+                    yield _rows(asked[s : s + 256], *_top(a[s : s + 256], b, ids, k))
+
+        def of_targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, a = shared.value
+            best: list = [(np.zeros((0, 0)),) * 2] * -(-len(a) // 256)
+            for batch in batches:
+                for s in range(0, batch.num_rows, block):
+                    part = batch.slice(s, block)
+                    b, ids = _matrix(part.column(1)), part.column(0).to_numpy()
+                    for i in range(len(best)):
+                        near, d2 = _top(a[256 * i : 256 * i + 256], b, ids, k)
+                        if best[i][0].size:
+                            near, d2 = np.hstack([best[i][0], near]), np.hstack([best[i][1], d2])
+                            order = np.lexsort((near, d2), axis=1)[:, :k]
+                            near, d2 = np.take_along_axis(near, order, 1), np.take_along_axis(d2, order, 1)
+                        best[i] = near, d2
+            for i, (near, d2) in enumerate(best):
+                if near.size:
+                    yield _rows(asked[256 * i : 256 * i + 256], near, d2)
+
+        return ranked(t.mapInArrow(of_targets, schema) if n_q < n_t else q.mapInArrow(of_queries, schema), k)
     blocks_q, blocks_t = -(-n_q // block), -(-n_t // block)
     qb = q.withColumn("bq", F.pmod(F.xxhash64("qid"), F.lit(blocks_q))).withColumn("bt", F.explode(F.sequence(F.lit(0), F.lit(blocks_t - 1))))
     tb = t.withColumn("bt", F.pmod(F.xxhash64("nid"), F.lit(blocks_t)).cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_q - 1).cast("long"))))
@@ -217,18 +272,10 @@ def feature_knn(q: DataFrame, t: DataFrame, k: int = 1, block: int = BLOCK) -> D
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"qid": [], "nid": [], "d2": []})
-        a, b, ids = np.stack(left["qf"]), np.stack(right["tf"]), right["nid"].to_numpy()
-        out = []
-        for start in range(0, len(a), 256):
-            part = a[start : start + 256]
-            d2 = np.zeros((len(part), len(b)))
-            for d in range(a.shape[1]):  # exact differences: no cancellation, memory bounded by one plane
-                d2 += (part[:, d, None] - b[None, :, d]) ** 2
-            order = np.lexsort((np.broadcast_to(ids, d2.shape), d2), axis=1)[:, :k]
-            out.append(pd.DataFrame({"qid": np.repeat(left["qid"].to_numpy()[start : start + 256], order.shape[1]), "nid": ids[order].ravel(), "d2": np.take_along_axis(d2, order, 1).ravel()}))
-        return pd.concat(out)
-
-    pairs = qb.groupBy("bq", "bt").cogroup(tb.groupBy("bq", "bt")).applyInPandas(nearest, "qid long, nid long, d2 double")
+        a, b, ids, asked = np.stack(left["qf"]), np.stack(right["tf"]), right["nid"].to_numpy(), left["qid"].to_numpy()
+        return pd.concat(_rows(asked[s : s + 256], *_top(a[s : s + 256], b, ids, k)).to_pandas() for s in range(0, len(a), 256))
+
+    pairs = qb.groupBy("bq", "bt").cogroup(tb.groupBy("bq", "bt")).applyInPandas(nearest, schema)
     return ranked(pairs, k)
 
 

@@ -332,7 +332,7 @@ def knn64(spark, sf_dir):
 @query(f"SELECT qid, rank, nid, round(d2, 6) + 0.0 AS d2 FROM ({sql_ranked(sql_feature_pairs(0, 1), 5)})")
 def knn64_blocks(spark, sf_dir):
     """The same in many blocks."""
-    return rounded(N.feature_knn(_q(C.features(spark, sf_dir, 0)), C.features(spark, sf_dir, 1), 5, block=128), "d2")
+    return rounded(N.feature_knn(_q(C.features(spark, sf_dir, 0)), C.features(spark, sf_dir, 1), 5, block=128, held=0), "d2")
 
 
 # ---- normals
