@@ -1,14 +1,15 @@
 """Neighbour search as joins. Results have qid, rank (from 1), nid, d2, by distance and then id.
 
-* Radius and hybrid search: a grid of cells as wide as the radius turns the band join into an equi-join on
+* Radius search: a grid of cells as wide as the radius turns the band join into an equi-join on
   cells (each query looks into its 27), which Spark shuffles, spills and splits when skewed like any other.
 * Exact kNN without a radius: growing rings. Queries whose k-th neighbour lies within the ring are
   done; the others look again with twice the radius. The first radius is fitted to the densest places, so
   dense cells are left after few candidates, and only queries in sparse places see wide rings.
+* Up to ``MOST_HELD`` targets, counted first, are held by every task (``Held``): queries stay where they are, and nothing is
+  shuffled or sorted. Nearest points and hybrid search of more targets are growing rings that end at the radius.
 * In many dimensions there is no grid: blocks of both sides meet, each pair of blocks in one task.
 
-The 3-D kNN uses a nested loop below ``SMALL`` pairs, counted first. In every search, points with a NaN, infinite
-or null coordinate have no neighbours and are nobody's.
+In every search, points with a NaN, infinite or null coordinate have no neighbours and are nobody's.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.vec import XYZ, norm2, sub, vec
 from pointloom.plans.staging import written
 
-SMALL, BLOCK = 5_000_000, 4096
+BLOCK = 4096
+#: Targets that every task may hold: 6 MB of coordinates, and as many a level of the grid.
+MOST_HELD = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -66,12 +70,11 @@ def ranked(pairs: DataFrame, most: int | None = None) -> DataFrame:
     return (out if most is None else out.where(F.col("rank") <= most)).select("qid", "rank", "nid", "d2")
 
 
-def near_pairs(q: DataFrame, t: DataFrame, radius: float, carry: Sequence[str] = (), by: Sequence[str] = (), loop: bool = False) -> DataFrame:
+def near_pairs(q: DataFrame, t: DataFrame, radius: float, carry: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """(qid, nid, d2) of all pairs closer than ``radius`` (strictly).
 
     ``carry``: columns of ``t`` to take along, as t_name; then both points come too, as s_x .. and t_x ...
-    ``by``: columns of both that must be equal, such as the number of a cloud. ``loop``: for counted, small sides, a nested
-    loop without a shuffle in place of the cells.
+    ``by``: columns of both that must be equal, such as the number of a cloud.
     """
     # Expression strings: building the same columns one call at a time takes longer than running them on small clouds.
     cells = lambda names, shift: [f"floor(least(greatest({n} / {float(radius)!r}D, -9e18D), 9e18D)){f' + {k}' if shift else ''} AS c{i}" for i, (n, k) in enumerate(zip(names, "abc", strict=True))]
@@ -79,16 +82,148 @@ def near_pairs(q: DataFrame, t: DataFrame, radius: float, carry: Sequence[str] =
     held = finite(t.selectExpr("pid AS nid", *by, *[f"cast({c} as double) AS {c}" for c in XYZ], *[f"{c} AS t_{c}" for c in carry]))
     d2 = "(qx - x) * (qx - x) + (qy - y) * (qy - y) + (qz - z) * (qz - z) AS d2"
     points = [f"q{c} AS s_{c}" for c in XYZ] if carry else []
-    if loop and not by:
-        both = asked.crossJoin(F.broadcast(held))
-    else:
-        for k in "abc":
-            asked = asked.selectExpr("*", f"explode(array(-1L, 0L, 1L)) AS {k}")
-        asked = asked.selectExpr("qid", *by, "qx", "qy", "qz", *cells(("qx", "qy", "qz"), True))
-        both = asked.join(held.selectExpr("*", *cells(XYZ, False)), [*by, "c0", "c1", "c2"])
+    for k in "abc":
+        asked = asked.selectExpr("*", f"explode(array(-1L, 0L, 1L)) AS {k}")
+    asked = asked.selectExpr("qid", *by, "qx", "qy", "qz", *cells(("qx", "qy", "qz"), True))
+    both = asked.join(held.selectExpr("*", *cells(XYZ, False)), [*by, "c0", "c1", "c2"])
     return both.selectExpr("qid", "nid", d2, *points, *[f"t_{c}" for c in carry]).where(f"d2 < {float(radius) ** 2!r}D")
 
 
+class Held:
+    """Points in the order of their ids, in grids of doubling widths that are made when they are asked for.
+
+    Distances are those of ``near_pairs``, bit for bit. A ring of a width is trusted up to ``SURE`` of it, so that rounding in the
+    cells loses nobody.
+    """
+
+    SURE, MOST, CANDIDATES = 0.999, 1 << 19, 1 << 20
+
+    def __init__(self, points: np.ndarray, k: int, radius: float = np.inf):
+        place = np.lexsort((np.arange(len(points)), *points.T))  # k at one place are enough
+        same = np.concatenate([np.zeros(min(1, len(points)), bool), (np.diff(points[place], axis=0) == 0).all(1)])
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(points))))
+        self.at = np.sort(place[np.arange(len(points)) - first < k])
+        self.points, self.k, self.radius = points[self.at], k, radius
+        self.low, self.high = (f(self.points, 0) if len(points) else np.zeros(3) for f in (np.min, np.max))
+        with np.errstate(over="ignore"):
+            self.span = float(np.max(self.high - self.low))
+        self.levels: dict[int, tuple] = {}
+        least = self.span / self.MOST or 1.0
+        self.width = max(least, radius / self.SURE * 1.001 if np.isfinite(radius) else self.span / max(1.0, round(len(self.points) ** (1 / 3))))
+        while self.width / 2 > least and self.crowd() > max(2, k / 2):
+            self.width /= 2
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"levels": {}}
+
+    def cells(self, points: np.ndarray, width: float) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.clip(np.floor((points - self.low) / width), -2, self.MOST + 2).astype("i8")
+
+    @staticmethod
+    def key(c: np.ndarray, x: int = 0, y: int = 0, z: int = 0) -> np.ndarray:
+        return (c[:, 0] + (x + 4) << 42) + (c[:, 1] + (y + 4) << 21) + (c[:, 2] + (z + 4))
+
+    def crowd(self) -> float:
+        """Points in a point's cell, on average over points."""
+        n = np.unique(self.key(self.cells(self.points, self.width)), return_counts=True)[1].astype(float)
+        return float((n * n).sum() / max(1.0, n.sum()))
+
+    def level(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of cells in order, the points in them, and their places among all points."""
+        if i not in self.levels:
+            keys = self.key(self.cells(self.points, self.width * 2.0**i))
+            order = np.argsort(keys, kind="stable")
+            self.levels[i] = keys[order], self.points[order], self.at[order]
+        return self.levels[i]
+
+    def search(self, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, rank, place, d2) of the ``k`` nearest closer than ``radius``; each query's rows are together, in order."""
+        left = np.flatnonzero(np.isfinite(q).all(1))
+        if not len(left) or not len(self.points) or not self.radius > 0:
+            return
+        i = 0
+        while len(left):
+            width = self.width * 2.0**i
+            whole = not width < min(2 * self.span, 1e150)  # the cells don't tell points apart: all are looked at
+            last = whole or not width * self.SURE < self.radius
+            if whole:
+                points, at = self.points, self.at
+                start, size = np.zeros((len(left), 1), "i8"), np.full((len(left), 1), len(points))
+            else:
+                keys, points, at = self.level(i)
+                c = self.cells(q[left], width)
+                ends = [(np.searchsorted(keys, self.key(c, x, y, -1)), np.searchsorted(keys, self.key(c, x, y, 1), "right")) for x in (-1, 0, 1) for y in (-1, 0, 1)]
+                start, size = np.stack([a for a, _ in ends], 1), np.stack([b - a for a, b in ends], 1)
+            total = np.cumsum(size.sum(1))
+            again, a = [], 0
+            while a < len(left):
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + self.CANDIDATES)))
+                n = size[a:b].ravel()
+                met = np.repeat(start[a:b].ravel() - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                row = np.repeat(np.arange(a, b), size[a:b].sum(1))
+                with np.errstate(over="ignore"):
+                    d = q[left[row]] - points[met]
+                    d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+                if not (last and self.radius == np.inf):
+                    near = d2 < (self.radius * self.radius if last else (width * self.SURE) ** 2)
+                    met, row, d2 = met[near], row[near], d2[near]
+                found = np.bincount(row - a, minlength=b - a)
+                if not last:
+                    done = found >= min(self.k, len(self.points))
+                    again.append(left[a:b][~done])
+                    of = done[row - a]
+                    met, row, d2, found = met[of], row[of], d2[of], found * done
+                where, begins = at[met], (np.cumsum(found) - found)[found > 0]
+                if self.k == 1 and len(row):
+                    least = np.minimum.reduceat(d2, begins)
+                    ties = np.where(d2 == np.repeat(least, found[found > 0]), where, np.iinfo("i8").max)
+                    yield left[row[begins]], np.ones(len(begins), "i8"), np.minimum.reduceat(ties, begins), least
+                elif len(row):
+                    order = np.lexsort((where, d2, row))
+                    rank = np.arange(1, len(row) + 1) - np.repeat(begins, found[found > 0])
+                    few = rank <= self.k
+                    order = order[few]
+                    yield left[row[order]], rank[few], where[order], d2[order]
+                a = b
+            left = np.concatenate(again) if again else left[:0]
+            i += 1
+
+
+def held_join(q: DataFrame, t: DataFrame, k: int, radius: float = np.inf, carry: Sequence[str] = ()) -> DataFrame | None:
+    """(qid, rank, nid, d2) and the columns of ``near_pairs`` with ``carry``; None where ``t`` has more than ``MOST_HELD`` points.
+
+    A written table of targets is gathered once for all searches of the same kind.
+    """
+    q = finite(q.selectExpr("qid", *[f"cast({c} as double) AS {c}" for c in XYZ]))
+    t, kept = finite(t.selectExpr("pid", *[f"cast({c} as double) AS d{c}" for c in XYZ], *[f"{c} AS t_{c}" for c in carry]), ("dx", "dy", "dz")), t.__dict__
+    kind, known = (k, radius, *carry), kept.get("_held", {})
+    if kind not in known:
+        if t.count() > MOST_HELD:
+            return None
+        rows = t.toArrow().combine_chunks()
+        rows = rows.take(pc.sort_indices(rows["pid"], null_placement="at_start"))
+        held = Held(np.stack([rows[f"d{c}"].to_numpy() for c in XYZ], 1) if rows.num_rows else np.zeros((0, 3)), k, radius)
+        known[kind] = q.sparkSession.sparkContext.broadcast((held, rows.drop_columns(["dx", "dy", "dz"])))
+        if "_written_to" in kept:
+            kept["_held"] = known
+    shared = known[kind]
+    schema = [("qid", dict(q.dtypes)["qid"]), ("rank", "bigint"), ("nid", dict(t.dtypes)["pid"]), ("d2", "double")]
+    schema += [(f"s_{c}", "double") for c in XYZ if carry] + [(c, d) for c, d in t.dtypes if c.startswith("t_")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = shared.value
+        for batch in batches:
+            points = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)], 1)
+            for asked, rank, at, d2 in held.search(points):
+                own = rows.take(pa.array(at))
+                moved = [pa.array(points[asked, i]) for i in range(3) if carry]
+                out = [batch.column(0).take(pa.array(asked)), pa.array(rank), own["pid"].combine_chunks(), pa.array(d2), *moved]
+                yield pa.RecordBatch.from_arrays([*out, *[own[c].combine_chunks() for c in own.column_names[1:]]], [n for n, _ in schema])
+
+    return q.mapInArrow(run, ", ".join(f"`{n}` {d}" for n, d in schema))
+
+
 def radius_join(q: DataFrame, t: DataFrame, radius: float) -> DataFrame:
     """All points of ``t`` (pid, x, y, z) closer than ``radius`` to each query of ``q`` (qid, x, y, z)."""
     if not radius > 0:
@@ -100,22 +235,18 @@ def hybrid_join(q: DataFrame, t: DataFrame, radius: float, max_nn: int) -> DataF
     """The ``max_nn`` nearest of those closer than ``radius``."""
     if not radius > 0:
         return radius_join(q, t, radius)
-    return ranked(near_pairs(q, t, radius), max_nn)
-
+    if max_nn <= 0:
+        return radius_join(q, t, 0)
+    found = held_join(q, t, max_nn, radius)
+    return rings(q, t, max_nn, radius) if found is None else found
 
-def nearest_within(q: DataFrame, t: DataFrame, radius: float, carry: Sequence[str] = (), near: float | None = None, loop: bool = False) -> DataFrame:
-    """(qid, nid, d2) of the nearest point closer than ``radius``: an aggregate with partial minima, no ranking.
 
-    ``near``: a smaller radius within which most queries find a point, and so their nearest one; only the others then
-    look through the wide cells. ``loop`` as in ``near_pairs``.
-    """
-    if not loop and near is not None and 0 < near * 1.5 < radius:
-        soon = nearest_within(q, t, near, carry)
-        return soon.unionByName(nearest_within(q.join(soon.select("qid"), "qid", "left_anti"), t, radius, carry))
-    pairs = near_pairs(q, t, radius, carry, loop=loop)
-    rest = [c for c in pairs.columns if c not in ("qid", "nid", "d2")]
-    best = pairs.groupBy("qid").agg(F.expr(f"min(struct({', '.join(['d2', 'nid', *rest])}))").alias("m"))
-    return best.selectExpr("qid", "m.nid", "m.d2", *[f"m.{c}" for c in rest])
+def nearest_within(q: DataFrame, t: DataFrame, radius: float, carry: Sequence[str] = ()) -> DataFrame:
+    """(qid, nid, d2) of the nearest point closer than ``radius``; ``carry`` as in ``near_pairs``."""
+    if not radius > 0:
+        return near_pairs(q, t.limit(0), 1.0, carry)
+    found = held_join(q, t, 1, radius, carry)
+    return (rings(q, t, 1, radius, carry=carry) if found is None else found).drop("rank")
 
 
 def extent(cloud: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -125,12 +256,6 @@ def extent(cloud: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return row[0], corner(row[1:4]), corner(row[4:7])
 
 
-def spacing(t: DataFrame) -> float:
-    """A radius at which points of ``t`` have a few neighbours, in its dense places."""
-    t = finite(t)
-    return first_radius(t, 3, *extent(t))
-
-
 #: Widths that one job looks at, each half of the one before.
 LEVELS = 8
 
@@ -157,26 +282,37 @@ def first_radius(t: DataFrame, k: int, n: int, low: np.ndarray, high: np.ndarray
     return top
 
 
-def knn_join(q: DataFrame, t: DataFrame, k: int, small: int = SMALL, by: Sequence[str] = ()) -> DataFrame:
-    """The ``k`` nearest points of ``t`` to each query, itself included if it is there; of those with equal ``by`` columns."""
+def knn_join(q: DataFrame, t: DataFrame, k: int, small: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` nearest points of ``t`` to each query, itself included if it is there; of those with equal ``by`` columns.
+
+    Tasks hold the targets if they are few enough; with ``small``, only for so many pairs, counted.
+    """
     if k <= 0:
         return radius_join(q, t, 0)
+    if not by and (small is None or small and q.count() * t.count() <= small):
+        found = held_join(q, t, k)
+        if found is not None:
+            return found
+    return rings(q, t, k, by=by)
+
+
+def rings(q: DataFrame, t: DataFrame, k: int, most: float = np.inf, by: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` nearest closer than ``most`` in growing rings, at any size."""
     q, t = finite(q), finite(t)
     (n_q, q_low, q_high), (n_t, low, high) = extent(q), extent(t)
-    if n_q * n_t <= small and not by:
-        return ranked(_queries(q).crossJoin(_targets(t)).select("qid", "nid", _d2().alias("d2")), k)
     least = min(k, n_t)
-    far = float(np.linalg.norm(np.maximum(high, q_high) - np.minimum(low, q_low))) * 1.001 + 1e-12
+    far = min(float(np.linalg.norm(np.maximum(high, q_high) - np.minimum(low, q_low))) * 1.001 + 1e-12, most)
     radius = first_radius(t, k, n_t, low, high)
     left, done = q.select("qid", *by, *XYZ), None
     met = Window.partitionBy("qid")
     while True:
         last = radius >= far
-        pairs = near_pairs(left, t, min(radius, far), by=by)
+        pairs = near_pairs(left, t, min(radius, far), carry, by)
+        rest = [c for c in pairs.columns if c not in ("qid", "nid", "d2")]
         nth = F.row_number().over(met.orderBy("d2", "nid")).cast("long")
-        found = pairs.select("qid", nth.alias("rank"), "nid", "d2", F.count("*").over(met).alias("n")).where(F.col("rank") <= k)
+        found = pairs.select("qid", nth.alias("rank"), "nid", "d2", *rest, F.count("*").over(met).alias("n")).where(F.col("rank") <= k)
         found = written(found if last else found.where(F.col("n") >= least), "ring")  # a query with too few looks again
-        part = found.select("qid", "rank", "nid", "d2")
+        part = found.select("qid", "rank", "nid", "d2", *rest)
         done = part if done is None else done.unionByName(part)
         if last:
             return done

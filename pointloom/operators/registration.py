@@ -16,7 +16,7 @@ from pointloom.functions.formatting import exponent
 from pointloom.functions.solve import point_to_plane, symmetric, umeyama
 from pointloom.functions.vec import NORMAL, XYZ, Vec, dot, has, lits, mat_vec, norm2, sub, vec
 from pointloom.operators.bounds import center_of
-from pointloom.operators.neighbors import SMALL, nearest_within, spacing
+from pointloom.operators.neighbors import nearest_within
 from pointloom.plans.staging import written
 
 
@@ -77,10 +77,10 @@ def inliers(source: DataFrame, target: DataFrame, max_distance: float, m: np.nda
     return near.select(F.col("qid").alias("source_id"), F.col("nid").alias("target_id"), "d2")
 
 
-def closest(source: DataFrame, target: DataFrame, max_distance: float, m: np.ndarray, near: float | None = None, loop: bool = False) -> DataFrame:
+def closest(source: DataFrame, target: DataFrame, max_distance: float, m: np.ndarray) -> DataFrame:
     """``inliers`` with both points, as in ``paired``, out of the same join: nothing is looked up by id afterwards."""
     names = XYZ + (NORMAL if has(target, NORMAL) else ())
-    found = nearest_within(moved(source, m).withColumnRenamed("pid", "qid"), target, max_distance, names, near, loop)
+    found = nearest_within(moved(source, m).withColumnRenamed("pid", "qid"), target, max_distance, names)
     return found.selectExpr("qid AS source_id", "nid AS target_id", "d2", *[f"s_{c} AS s{c}" for c in XYZ], *[f"t_{c} AS t{c}" for c in names])
 
 
@@ -174,7 +174,7 @@ def icp(source: DataFrame, target: DataFrame, max_distance: float, init=None, es
     """Iterative closest points. Each iteration is one job: nearest points, their count, error and the fit's sums.
 
     The transformation enters the plan as a table of one row beside fixed tables, so plans don't grow with the iterations.
-    Up to ``SMALL`` pairs of points, counted, meet in a nested loop, which saves an iteration its shuffles.
+    A target that tasks can hold is gathered once.
     """
     if max_distance <= 0:
         raise ValueError("max_correspondence_distance must be positive")
@@ -187,11 +187,10 @@ def icp(source: DataFrame, target: DataFrame, max_distance: float, init=None, es
     n_target = target.count()
     if not total or not n_target:
         return Result(m)
-    loop = total * n_target <= SMALL
-    shift, near = center_of(target), None if loop else spacing(target)
+    shift = center_of(target)
 
     def step(m: np.ndarray) -> tuple[float, float, dict]:
-        row = closest(source, target, max_distance, m, near, loop).agg(F.sum("d2").alias("d2"), F.count(F.lit(1)).alias("count"), *(plane_sums() if estimation.plane else point_moments(shift, shift))).first().asDict()
+        row = closest(source, target, max_distance, m).agg(F.sum("d2").alias("d2"), F.count(F.lit(1)).alias("count"), *(plane_sums() if estimation.plane else point_moments(shift, shift))).first().asDict()
         n = row["count"]
         return n / total, math.sqrt(row["d2"] / n) if n else 0.0, row
 
