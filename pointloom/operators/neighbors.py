@@ -1,7 +1,7 @@
 """Neighbour search as joins. Results have qid, rank (from 1), nid, d2, by distance and then id.
 
-* Radius search: a grid of cells as wide as the radius turns the band join into an equi-join on
-  cells (each query looks into its 27), which Spark shuffles, spills and splits when skewed like any other.
+* Radius search: a grid of cells a little wider than twice the radius turns the band join into an equi-join on cells, which
+  Spark shuffles, spills and splits when skewed like any other. A query's ball lies in two cells along each axis, so it is sent to 8.
 * Exact kNN without a radius: growing rings. Queries whose k-th neighbour lies within the ring are
   done; the others look again with twice the radius. The first radius is fitted to the densest places, so
   dense cells are left after few candidates, and only queries in sparse places see wide rings.
@@ -77,15 +77,16 @@ def near_pairs(q: DataFrame, t: DataFrame, radius: float, carry: Sequence[str] =
     ``by``: columns of both that must be equal, such as the number of a cloud.
     """
     # Expression strings: building the same columns one call at a time takes longer than running them on small clouds.
-    cells = lambda names, shift: [f"floor(least(greatest({n} / {float(radius)!r}D, -9e18D), 9e18D)){f' + {k}' if shift else ''} AS c{i}" for i, (n, k) in enumerate(zip(names, "abc", strict=True))]
+    width, reach = 2.004 * float(radius), 1.001 * float(radius)
+    cells = lambda names, less, add: [f"floor(least(greatest(({n} - {less!r}D) / {width!r}D, -9e18D), 9e18D)){f' + {k}' if add else ''} AS c{i}" for i, (n, k) in enumerate(zip(names, "abc", strict=True))]
     asked = finite(q.selectExpr("qid", *by, *[f"cast({c} as double) AS q{c}" for c in XYZ]), ("qx", "qy", "qz"))
     held = finite(t.selectExpr("pid AS nid", *by, *[f"cast({c} as double) AS {c}" for c in XYZ], *[f"{c} AS t_{c}" for c in carry]))
     d2 = "(qx - x) * (qx - x) + (qy - y) * (qy - y) + (qz - z) * (qz - z) AS d2"
     points = [f"q{c} AS s_{c}" for c in XYZ] if carry else []
     for k in "abc":
-        asked = asked.selectExpr("*", f"explode(array(-1L, 0L, 1L)) AS {k}")
-    asked = asked.selectExpr("qid", *by, "qx", "qy", "qz", *cells(("qx", "qy", "qz"), True))
-    both = asked.join(held.selectExpr("*", *cells(XYZ, False)), [*by, "c0", "c1", "c2"])
+        asked = asked.selectExpr("*", f"explode(array(0L, 1L)) AS {k}")
+    asked = asked.selectExpr("qid", *by, "qx", "qy", "qz", *cells(("qx", "qy", "qz"), reach, True))
+    both = asked.join(held.selectExpr("*", *cells(XYZ, 0.0, False)), [*by, "c0", "c1", "c2"])
     return both.selectExpr("qid", "nid", d2, *points, *[f"t_{c}" for c in carry]).where(f"d2 < {float(radius) ** 2!r}D")
 
 

@@ -61,3 +61,13 @@ def test_no_search_sorts_all_pairs(spark, monkeypatch, most):
     source, target = frame(spark, p, "pid"), frame(spark, p + 0.001, "pid")
     assert R.evaluation(source, target, 0.5).first().n_inlier == 5000
     assert sum(x.count() for x in met[:1]) < 1_000_000 and len(met) <= 4
+
+
+def test_a_query_is_sent_to_eight_cells(spark):
+    """The ball meets two cells along each axis, wherever it lies in them; no pair is lost or found twice."""
+    r = np.random.default_rng(5)
+    q, t = np.concatenate([r.integers(-8, 8, (150, 3)) / 2.0, r.uniform(-4, 4, (150, 3)), [[1e17, -1e17, 1e300]]]), r.integers(-8, 8, (300, 3)) / 2.0
+    pairs = N.near_pairs(frame(spark, q, "qid"), frame(spark, t, "pid"), 1.0)
+    assert sorted(map(tuple, pairs.collect())) == sorted((i, j, d) for i, _, j, d in brute(q, t, 10**9, 1.0))
+    sent = [x for x in str(pairs._jdf.queryExecution().optimizedPlan()).split("\n") if "explode" in x]
+    assert sent and not any("-1" in x for x in sent)
