@@ -10,8 +10,7 @@ symbols. The tree has two tiers:
   longest kept suffix. Distributions are smoothed towards that suffix's, down to the root, which is smoothed by one
   count for each byte.
 * Long contexts are the ``WORDS`` words before a word, and predict that word. They are as many as the corpus has: they stay in
-  a distributed table that scoring joins. One in ``ANCHOR`` of them, by their own hash, may enter, so learning and scoring
-  agree on which. A long context is kept if it occurs twice or more and its next words' distribution diverges from the
+  a distributed table that scoring joins. Every place of every text is looked at. A long context is kept if it occurs twice or more and its next words' distribution diverges from the
   byte tree's: occurrences times divergence is ``GAIN`` or more, in log10. With n of N occurrences followed by the word,
   and t different words, the word has (n + t * bytes' probability) / (N + t).
 
@@ -39,7 +38,9 @@ from pyspark.sql import functions as F
 from pointloom.llm.common import LOWER, UPPER, crc_mod, discard, map_arrow, table, tidy, written
 
 DEPTH, P_MIN, GAMMA, RATIO, PULL = 5, 1e-5, 1e-3, 1.2, 60.0
-WORDS, ANCHOR, GAIN = 3, 4, 1.0
+WORDS, GAIN = 3, 1.0
+#: Long contexts whose hash this divides may enter: all.
+ANCHOR = 1
 #: Steps in which a word's log10 is kept beside its hash; 32 bits of them reach to words of tens of kilobytes, longer ones are left to the bytes.
 STEP = 1 << 14
 #: Counts that a pass may gather; two levels are counted at once if they keep within it.
@@ -135,7 +136,7 @@ class Hashes:
 
 
 class Places(NamedTuple):
-    """Words behind a long context that may enter: number of the text, context, and the word: 32 bits of hash, 32 of its -log10 by bytes."""
+    """Words behind a long context: number of the text, context, and the word: 32 bits of hash, 32 of its -log10 by bytes."""
 
     number: np.ndarray
     context: np.ndarray
@@ -146,30 +147,45 @@ class Places(NamedTuple):
         return Places(*(np.zeros(0, "i8") for _ in range(3)))
 
 
-def places_of(data: np.ndarray, told: np.ndarray, starts: np.ndarray, numbers: Sequence[int], logs: np.ndarray) -> Places:
-    """Of the words of each slice that have ``WORDS`` words before them in it. A word ends with the blank or end behind it."""
+class Tail(NamedTuple):
+    """The last words of a slice, for the next one if the text goes on there: number of the text, bytes, and their log10."""
+
+    number: int
+    data: np.ndarray
+    logs: np.ndarray
+
+
+def places_of(data: np.ndarray, told: np.ndarray, starts: np.ndarray, numbers: Sequence[int], logs: np.ndarray, before: Tail | None = None) -> tuple[Places, Tail]:
+    """Of all words that have ``WORDS`` words before them in their text. A word ends with the blank or end behind it."""
+    lead, skip = np.full(len(starts), DEPTH), 0
+    if before is not None and before.number == numbers[0]:  # a text that goes on: its last words in place of the context
+        lead[0], skip = 0, len(before.data)
+        data, logs = np.concatenate([before.data, data[DEPTH:]]), np.concatenate([before.logs, logs[DEPTH:]])
+        told = np.concatenate([np.ones(skip, bool), told[DEPTH:]])
+        starts = np.concatenate([[0], starts[1:] + (skip - DEPTH)])
     ends = np.flatnonzero(told & ((data == 32) | (data == END[0])))
     part = np.searchsorted(starts, ends, "right") - 1
-    begins = np.concatenate([[0], ends[:-1] + 1])
-    begins = np.maximum(begins, starts[part] + DEPTH)  # a slice's first word begins behind its context
+    own = ends[part == len(starts) - 1]
+    since = own[-WORDS - 1] + 1 if len(own) > WORDS else starts[-1] + lead[-1]
+    tail = Tail(numbers[-1], data[since:].copy(), logs[since:].copy())
+    begins = np.concatenate([[0], ends[:-1] + 1])[: len(ends)]
+    begins = np.maximum(begins, starts[part] + lead[part])  # a text's first word begins behind its context
     n = len(ends) - WORDS
     if n <= 0:
-        return Places.none()
-    whole = np.flatnonzero(part[WORDS:] == part[:n])
+        return Places.none(), tail
+    whole = np.flatnonzero((part[WORDS:] == part[:n]) & (ends[WORDS:] >= skip))
     hashes = Hashes(data)
-    context = hashes.of(begins[whole], ends[whole + WORDS - 1] + 1)
-    chosen = context % np.uint64(ANCHOR) == 0
-    context, word = context[chosen], whole[chosen] + WORDS
+    context, word = hashes.of(begins[whole], ends[whole + WORDS - 1] + 1), whole + WORDS
     total = np.concatenate([[0.0], np.cumsum(logs, dtype="f8")])
     steps = np.rint((total[begins[word]] - total[ends[word] + 1]) * STEP).astype("i8")
     follow = hashes.of(begins[word], ends[word] + 1) & np.uint64(0xFFFFFFFF00000000)
     places = Places(np.asarray(numbers, "i8")[part[word]], context.view("i8"), follow.view("i8") | steps)
-    return Places(*(x[steps < 1 << 32] for x in places))
+    return Places(*(x[steps < 1 << 32] for x in places)), tail
 
 
 def score_bodies(tree: Tree, bodies: Sequence[bytes]) -> tuple[np.ndarray, Places]:
     """log10 of each body by bytes, and the words that long contexts may predict instead, in the order of the bodies."""
-    out, places = np.zeros(len(bodies)), []
+    out, places, tail = np.zeros(len(bodies)), [], None
     for data, told, starts, numbers in slices(bodies, DEPTH):
         state = np.zeros(len(data), "i4")
         for at, states in zip(tree.levels.walk(data), tree.states, strict=True):
@@ -178,7 +194,8 @@ def score_bodies(tree: Tree, bodies: Sequence[bytes]) -> tuple[np.ndarray, Place
         state += tree.levels.symbols[data]
         logs = np.take(tree.log10, state, mode="clip") * told
         np.add.at(out, numbers, np.add.reduceat(logs, starts, dtype="f8"))
-        places.append(places_of(data, told, starts, numbers, logs))
+        found, tail = places_of(data, told, starts, numbers, logs, tail)
+        places.append(found)
     return out, Places(*(np.concatenate(x) for x in zip(*places, strict=True))) if places else Places.none()
 
 
@@ -424,8 +441,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     Learns from all rows that aren't held out; by default those with crc32(doc_id) mod 7 = 2 are. Null and empty texts
     are one end token. Repeated rows count, and are scored, as often as they occur; a null id's crc32 is that
     of the empty text. With nothing to learn from, the root's uniform distribution scores. An empty table gives an
-    empty result. Texts are read whole, a megabyte at a time, and the first words of each megabyte are scored by bytes
-    alone; other columns are ignored.
+    empty result. Texts are read whole, a megabyte at a time; other columns are ignored.
     """
     held = crc_mod(F.col("doc_id"), 7) == 2 if held_out is None else held_out
     spark = docs.sparkSession
