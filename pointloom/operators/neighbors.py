@@ -339,7 +339,27 @@ def self_search(cloud: DataFrame, param: Knn | Radius | Hybrid) -> DataFrame:
 
 
 def _top(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and squared distances of the ``k`` nearest rows of ``b`` to each row of ``a``, equal distances by id."""
+    """Ids and squared distances of the ``k`` nearest rows of ``b`` to each row of ``a``, equal distances by id.
+
+    A matrix product tells which rows can be among them, its rounding allowed for; their distances are summed from exact differences.
+    """
+    k = min(k, len(b))
+    with np.errstate(over="ignore", invalid="ignore"):
+        na, nb = (a * a).sum(1), (b * b).sum(1)
+        size = na[:, None] + nb
+        rough = size - 2 * (a @ b.T)
+    if k and np.isfinite(rough).all():
+        size *= 1e-15 * (a.shape[1] + 16)
+        most = rough + size
+        kth = most.min(1) if k == 1 else np.partition(most, k - 1, 1)[:, k - 1]
+        row, col = np.nonzero(rough - size <= kth[:, None])
+        d2 = np.zeros(len(row))
+        for d in range(a.shape[1]):
+            d2 += (a[row, d] - b[col, d]) ** 2
+        order = np.lexsort((ids[col], d2, row))
+        n = np.bincount(row, minlength=len(a))
+        best = order[(np.cumsum(n) - n)[:, None] + np.arange(k)]
+        return ids[col[best]], d2[best]
     d2 = np.zeros((len(a), len(b)))
     for d in range(a.shape[1]):  # exact differences: no cancellation, memory bounded by one plane
         d2 += (a[:, d, None] - b[None, :, d]) ** 2
@@ -355,8 +375,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-#: Rows of a side that every task may hold, 64 numbers each being 4 MB.
-HELD = 8192
+#: Rows of a side that every task may hold, 64 numbers each being 64 MB; pairs of rows that a task looks at at once.
+HELD, AT_ONCE = 1 << 17, 1 << 21
 
 
 def feature_knn(q: DataFrame, t: DataFrame, k: int = 1, block: int = BLOCK, held: int = HELD) -> DataFrame:
@@ -380,8 +400,9 @@ def feature_knn(q: DataFrame, t: DataFrame, k: int = 1, block: int = BLOCK, held
             ids, b = shared.value
             for batch in batches:
                 a, asked = _matrix(batch.column(1)), batch.column(0).to_numpy()
-                for s in range(0, len(a), 256):
-                    yield _rows(asked[s : s + 256], *_top(a[s : s + 256], b, ids, k))
+                step = max(1, AT_ONCE // len(b))
+                for s in range(0, len(a), step):
+                    yield _rows(asked[s : s + step], *_top(a[s : s + step], b, ids, k))
 
         def of_targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked, a = shared.value
