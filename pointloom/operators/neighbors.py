@@ -202,8 +202,10 @@ def held_join(q: DataFrame, t: DataFrame, k: int, radius: float = np.inf, carry:
     if kind not in known:
         if t.count() > MOST_HELD:
             return None
-        rows = t.toArrow().combine_chunks()
-        rows = rows.take(pc.sort_indices(rows["pid"], null_placement="at_start"))
+        nested = dict(t.dtypes)["pid"].startswith(("struct", "array"))  # Arrow doesn't order these
+        rows = (t.orderBy("pid") if nested else t).toArrow().combine_chunks()
+        if not nested:
+            rows = rows.take(pc.sort_indices(rows["pid"], null_placement="at_start"))
         held = Held(np.stack([rows[f"d{c}"].to_numpy() for c in XYZ], 1) if rows.num_rows else np.zeros((0, 3)), k, radius)
         known[kind] = q.sparkSession.sparkContext.broadcast((held, rows.drop_columns(["dx", "dy", "dz"])))
         if "_written_to" in kept:

@@ -71,3 +71,10 @@ def test_a_query_is_sent_to_eight_cells(spark):
     assert sorted(map(tuple, pairs.collect())) == sorted((i, j, d) for i, _, j, d in brute(q, t, 10**9, 1.0))
     sent = [x for x in str(pairs._jdf.queryExecution().optimizedPlan()).split("\n") if "explode" in x]
     assert sent and not any("-1" in x for x in sent)
+
+
+def test_ids_of_several_columns(spark):
+    p = clouds()["ties"][:60]
+    q, t = (frame(spark, p, k).selectExpr(f"struct({k} div 7 AS a, {k} AS b) AS {k}", "x", "y", "z") for k in ("qid", "pid"))
+    got = sorted((r.qid.b, r.rank, r.nid.b, r.d2) for r in N.knn_join(q, t, 3).collect())
+    assert got == brute(p, p, 3, np.inf)
