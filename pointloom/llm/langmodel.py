@@ -9,8 +9,8 @@ symbols. The tree has two tiers:
   some next byte of probability ``GAMMA`` or more is ``RATIO`` times likelier, or rarer, after it than after its
   longest kept suffix. Distributions are smoothed towards that suffix's, down to the root, which is smoothed by one
   count for each byte.
-* Long contexts are the ``WORDS`` words before a word, and predict that word. They are as many as the corpus has: they stay in
-  a distributed table that scoring joins. Every place of every text is looked at. A long context is kept if it occurs twice or more and its next words' distribution diverges from the
+* Long contexts are the ``WORDS`` words before a word, and predict that word. They are as many as the corpus has: every place of
+  every text is packed and shuffled once, to the group of its context, where counts, pruning and scores are made. A long context is kept if it occurs twice or more and its next words' distribution diverges from the
   byte tree's: occurrences times divergence is ``GAIN`` or more, in log10. With n of N occurrences followed by the word,
   and t different words, the word has (n + t * bytes' probability) / (N + t).
 
@@ -18,7 +18,7 @@ A word is scored by the longest kept suffix: the long context, or else byte by b
 
 Word counts for the base score grow with the corpus and stay distributed. Words that make up ``HEAD`` of all
 tokens, at most ``1 / HEAD`` of them, are scored where the text lies; the others, counted once a document, meet
-their counts in a join. So frequent words, the skewed keys, are never shuffled. Words and contexts are told apart by
+their counts as places meet their contexts. So frequent words, the skewed keys, are never shuffled. Words and contexts are told apart by
 64-bit hashes, a long context's next words by 32 bits.
 """
 
@@ -31,6 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,8 @@ STEP = 1 << 14
 #: Counts that a pass may gather; two levels are counted at once if they keep within it.
 CELLS = 8_000_000
 HEAD = 1e-5
+#: Places that a task puts in order at once; training tokens to a group of contexts, of which there are 2 ** LEAST_BITS or more, and to a task that has groups.
+WAIT, GROUP, LEAST_BITS, TASK = 1 << 20, 1 << 21, 9, 4_000_000
 SLICE, FLUSH = 1 << 20, 150_000
 END = b"\n"
 _AZ = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -379,12 +382,94 @@ def train(docs: DataFrame, vocab: DataFrame, pairs: np.ndarray) -> tuple[Tree, t
     return tree, (int(n), int(v), head["key"].to_numpy(), np.log10(head["n"].to_numpy() + 1.0))
 
 
-def scored(docs: DataFrame, model: tuple[Tree, tuple]) -> DataFrame:
-    """Per row of ``docs`` (row, doc_id, held_out, text): token counts, scores, and what is left to look up."""
+class Pack:
+    """Places on their way to the task that has all of their context, about 14 bytes each. Words, with how often a row or the corpus has them, go the same way.
+
+    Contexts are dealt over groups by their first bits. ``WAIT`` places are put in order together; those of a group are one row:
+    equal ones counted, contexts as differences, numbers as planes of bytes, each of them raw or by zstd, whichever is shorter.
+    """
+
+    PLANES = 24
+
+    def __init__(self, bits: int, kind: int):
+        self.bits, self.kind, self.size, self.first = bits, kind, 0, 0
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, who: np.ndarray, context: np.ndarray, word: np.ndarray) -> None:
+        """``who``: twice the row of each place, and 1 for held-out rows; rows ascend."""
+        if len(who):
+            self.first = self.first if self.size else int(who[0]) // 2
+            self.waiting.append(((who - 2 * self.first).astype("u4"), context.view("u8"), word.view("u8")))
+            self.size += len(who)
+
+    def settle(self) -> Iterator[pa.RecordBatch]:
+        """Rows of ``_PACKED``: group, kind, the first row, places, what ``unpacked`` reads; the other columns are null."""
+        rows = list(self.rows())
+        for a in range(0, len(rows), 64):
+            given = [pa.array(x, t) for x, t in zip(zip(*rows[a : a + 64], strict=True), _TYPES, strict=False)]
+            yield pa.RecordBatch.from_arrays([*given, *[pa.nulls(len(given[0]), t) for t in _TYPES[len(given) :]]], _NAMES)
+
+    def rows(self) -> Iterator[tuple[int, int, int, int, bytes]]:
+        if not self.size:
+            return
+        who, context, word = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        self.waiting, self.size = [], 0
+        order = np.argsort(context, kind="stable")
+        who, context, word = who[order], context[order], word[order]
+        fresh = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1]) | (who[1:] != who[:-1])]))
+        times = np.diff(fresh, append=len(context)).astype("u4")
+        who, context, word = who[fresh], context[fresh], word[fresh]
+        group = (context >> np.uint64(64 - self.bits)).astype("i8")
+        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+        zstd = pa.Codec("zstd", compression_level=1)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            parts = np.diff(context[a:b], prepend=np.uint64(0)), word[a:b], who[a:b], times[a:b]
+            planes = [bytes(x) for part in parts for x in np.ascontiguousarray(part.view("u1").reshape(b - a, -1).T)]
+            planes = [min(x, zstd.compress(x, asbytes=True), key=len) for x in planes]
+            yield int(group[a]), self.kind, self.first, int(b - a), b"".join([np.array([len(x) for x in planes], "u4").tobytes(), *planes])
+
+    @staticmethod
+    def unpacked(first: int, n: int, packed: bytes) -> tuple[np.ndarray, ...]:
+        """who, context, word, times."""
+        sizes = np.frombuffer(packed, "u4", Pack.PLANES)
+        ends = 4 * Pack.PLANES + np.cumsum(sizes)
+        parts = (packed[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True))
+        planes = np.frombuffer(b"".join(x if len(x) == n else pa.decompress(x, decompressed_size=n, codec="zstd", asbytes=True) for x in parts), "u1")
+        context, word, who, times = (np.ascontiguousarray(planes[n * a : n * b].reshape(b - a, n).T).view(f"u{b - a}").ravel() for a, b in ((0, 8), (8, 16), (16, 20), (20, 24)))
+        return who.astype("i8") + 2 * first, np.cumsum(context, dtype="u8"), word, times.astype("i8")
+
+
+_PACKED = "part int, kind int, first long, places int, packed binary"
+_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_head long, head double, score double"
+_NAMES = [f.split()[0] for f in f"{_PACKED}, {_SCORED}".split(", ")]
+_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+PLACES, RARE, VOCABULARY = range(3)
+
+
+def packed_words(vocab: DataFrame, bits: int) -> DataFrame:
+    """(key, n) as rows of ``Pack``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = Pack(bits, VOCABULARY)
+        for batch in batches:
+            pack.add(np.zeros(batch.num_rows, "i8"), batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            if pack.size >= WAIT:
+                yield from pack.settle()
+        yield from pack.settle()
+
+    return map_arrow(vocab.select("key", "n"), run, f"{_PACKED}, {_SCORED}")
+
+
+def scored(docs: DataFrame, model: tuple[Tree, tuple], bits: int) -> DataFrame:
+    """Per row of ``docs`` (row, doc_id, held_out, text): token counts and scores.
+
+    Beside them, by ``part``, what is left to meet: rows of ``Pack`` with the places of long contexts, and with the words that aren't frequent.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, (_, _, head, logs) = shared.value
+        packs = Pack(bits, PLACES), Pack(bits, RARE)
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
@@ -400,39 +485,122 @@ def scored(docs: DataFrame, model: tuple[Tree, tuple]) -> DataFrame:
                 known = head[at] == keys if len(head) else np.zeros(len(keys), bool)
                 count = lambda x: np.bincount(doc[known], x, len(split))
                 rest = ~known
-                edges = np.concatenate([[0], np.cumsum(np.bincount(doc[rest], minlength=len(split)))]).astype("i4")
-                lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x[rest], pa.int64())) for x in (keys, times)]
                 score, places = score_bodies(tree, [b" ".join(w) + END for w in split])
-                bounds = pa.array(np.searchsorted(places.number, np.arange(len(split) + 1)).astype("i4"))
-                lists += [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in places[1:]]
+                row, held = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+                who = row * 2 + held
+                packs[0].add(who[places.number], places.context, places.word)
+                packs[1].add(who[doc[rest]], keys[rest], times[rest])
+                own = [pa.array(row & ((1 << bits) - 1), pa.int32()), *[pa.nulls(len(split), t) for t in _TYPES[1:5]]]
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(k) for k in range(3)], pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(count(times[known]).astype("i8")), pa.array(count((times[known] * logs[at[known]]) if len(head) else None)), pa.array(score), *lists],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_head", "head", "score", "keys", "times", "context", "word"],
+                    [*own, *[batch.column(k) for k in range(3)], pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(count(times[known]).astype("i8")), pa.array(count((times[known] * logs[at[known]]) if len(head) else None)), pa.array(score)],
+                    _NAMES,
                 )
+                for pack in packs:
+                    if pack.size >= WAIT:
+                        yield from pack.settle()
+        for pack in packs:
+            yield from pack.settle()
+
+    return map_arrow(docs, run, f"{_PACKED}, {_SCORED}")
+
+
+def gains(who: np.ndarray, context: np.ndarray, word: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, gain): what the kept ones of these contexts add to the byte tree's score. All places of each context must be there."""
+    order = np.argsort(context, kind="stable")
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(context[order]) != 0]))
+    sizes, learnt = np.diff(begins, append=len(context)), np.where(who % 2 == 0, times, 0)
+    n = np.add.reduceat(learnt[order], begins)
+    often = n >= 2
+    order, n = order[np.repeat(often, sizes)], n[often].astype("f8")
+    if not len(n):
+        return np.zeros(0, "i8"), np.zeros(0)
+    which, follow = np.repeat(np.arange(len(n)), sizes[often]), word[order] >> np.uint64(32)
+    again = np.argsort(which.astype("u8") << np.uint64(32) | follow, kind="stable")
+    order, which, follow = order[again], which[again], follow[again]
+    who, times, learnt = who[order], times[order], learnt[order]
+    log = -(word[order] & np.uint64(0xFFFFFFFF)).astype("f8") / STEP
+    begins = np.flatnonzero(np.concatenate([[True], (np.diff(which) != 0) | (np.diff(follow) != 0)]))
+    n_next, of = np.add.reduceat(learnt, begins).astype("f8"), which[begins]
+    met = np.maximum(n_next, 1)
+    diverges = np.bincount(of, n_next * np.log10(met / n[of]), len(n)) - np.bincount(which, learnt * log, len(n))
+    kinds = np.bincount(of, n_next > 0, len(n))
+    kept = (diverges >= GAIN)[which]
+    n_next = np.repeat(n_next, np.diff(begins, append=len(which)))[kept]
+    which, log = which[kept], log[kept]
+    share = (n_next + kinds[which] * 10.0**log) / (n[which] + kinds[which])
+    row, at = np.unique(who[kept] // 2, return_inverse=True)
+    return row, np.bincount(at, times[kept] * (np.log10(share) - log), len(row))
+
+
+def rare(who: np.ndarray, key: np.ndarray, times: np.ndarray, known: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, n_tail, tail): of these words, how many are known, and the sum of log10(n + 1)."""
+    order = np.argsort(known)
+    known, n = known[order], n[order]
+    at = np.searchsorted(known, key).clip(max=max(0, len(known) - 1))
+    found = known[at] == key if len(known) else np.zeros(len(key), bool)
+    row, to = np.unique(who[found] // 2, return_inverse=True)
+    return row, np.bincount(to, times[found], len(row)), np.bincount(to, times[found] * np.log10(n[at[found]] + 1.0), len(row))
+
+
+def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(row, sums ..) of some."""
+    of, *values = (np.concatenate(x) for x in zip(*parts, strict=True))
+    rows, at = np.unique(of, return_inverse=True)
+    return rows, *(np.bincount(at, x, len(rows)) for x in values)
+
+
+def met(packed: DataFrame, tasks: int) -> DataFrame:
+    """The rows of ``scored``, and (row, gain, n_tail, tail) of what met in a task, summed by row."""
+    names = [*_NAMES[5:], "gain", "n_tail", "tail"]
+    last = [pa.float64(), pa.int64(), pa.float64()]
 
-    return map_arrow(docs, run, "row long, doc_id long, held_out boolean, n_tokens long, n_head long, head double, score double, keys array<long>, times array<long>, context array<long>, word array<long>")
-
-
-def gains(done: DataFrame) -> DataFrame:
-    """(row, gain): what the kept long contexts add to the byte tree's score. ``done`` is a written table, which this discards.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group, found, size = None, ([], [], []), [], 0
+
+        def settle() -> int:
+            """Of a group, which is over."""
+            whole = [[np.concatenate(x) for x in zip(*g, strict=True)] if g else [np.zeros(0, t) for t in ("i8", "u8", "u8", "i8")] for g in group]
+            before = len(found)
+            if group[PLACES]:
+                row, gain = gains(*whole[PLACES])
+                found.append((row, gain, np.zeros(len(row)), np.zeros(len(row))))
+            if group[RARE]:
+                (who, key, word, times), (_, known, n, _) = whole[RARE], whole[VOCABULARY]
+                row, n_tail, tail = rare(who, key, word.astype("i8") * times, known, n.astype("f8"))
+                found.append((row, np.zeros(len(row)), n_tail, tail))
+            for g in group:
+                g.clear()
+            return sum(len(x[0]) for x in found[before:])
+
+        def out() -> pa.RecordBatch:
+            row, *sums = found[0]
+            return pa.RecordBatch.from_arrays([pa.array(row), *[pa.nulls(len(row), t) for t in _TYPES[6:]], *[pa.array(x).cast(t) for x, t in zip(sums, last, strict=True)]], names)
 
-    Hot contexts are counted before they are shuffled; the joins are with tables, so they can split a hot context's words.
-    """
-    spark, held = done.sparkSession, F.col("who") % 2 == 1
-    each = done.select((F.col("row") * 2 + F.col("held_out").cast("int")).alias("who"), F.explode(F.arrays_zip("context", "word")).alias("p")).select("who", "p.*")
-    often = written(each.where(~held).groupBy("context").agg(F.count("*").alias("n")).where("n >= 2"), "contexts")
-    met = written(each.join(often, "context").selectExpr("who", "context", "shiftright(word, 32) AS follow", f"-(word & 4294967295) / {STEP}D AS log", "cast(n AS double) AS n_context"), "behind-contexts")
-    discard(done, often)
-    tidy(spark)
-    follows = met.where(~held).groupBy("context", "follow").agg(F.count("*").cast("double").alias("n"), F.sum("log").alias("bytes"), F.max("n_context").alias("n_context"))
-    follows = written(follows, "next-words")
-    diverges = F.sum(F.col("n") * F.log10(F.col("n") / F.col("n_context")) - F.col("bytes")) >= GAIN
-    kept = written(follows.groupBy("context").agg(diverges.alias("kept"), F.count("*").cast("double").alias("kinds")).where("kept").select("context", "kinds"), "kept-contexts")
-    known = met.join(kept, "context").join(follows.select("context", "follow", "n"), ["context", "follow"], "left")
-    share = (F.coalesce("n", F.lit(0.0)) + F.col("kinds") * F.pow(F.lit(10.0), F.col("log"))) / (F.col("n_context") + F.col("kinds"))
-    gain = written(known.groupBy(F.expr("who div 2").alias("row")).agg(F.sum(F.log10(share) - F.col("log")).alias("gain")), "gains")
-    discard(met, follows, kept)
-    return gain
+        for batch in batches:
+            own = batch.filter(pc.is_null(batch["packed"])).select(_NAMES[5:])
+            yield pa.RecordBatch.from_arrays([*own.columns, *[pa.nulls(own.num_rows, t) for t in last]], names)
+            few = (batch.select(_NAMES[:5]).slice(a, 64) for a in range(0, batch.num_rows, 64))
+            for at, kind, first, places, data in (x for part in few for x in zip(*[c.to_pylist() for c in part.columns], strict=True)):
+                if data is None:
+                    continue
+                if at != now and any(group):
+                    size += settle()
+                    if size > WAIT // 2:
+                        found[:] = [summed(found)]
+                        size = len(found[0][0])
+                    if size > WAIT // 4:
+                        yield out()
+                        found.clear()
+                        size = 0
+                now = at
+                group[kind].append(Pack.unpacked(first, places, data))
+        if any(group):
+            settle()
+        if found:
+            found[:] = [summed(found)]
+            yield out()
+
+    return map_arrow(packed.repartition(tasks, "part").sortWithinPartitions("part"), run, f"{_SCORED}, gain double, n_tail long, tail double")
 
 
 def score_texts(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
@@ -455,16 +623,14 @@ def score_texts(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     model = train(learn, vocab, pairs.reshape(256, 256))
     n, v, _, _ = model[1]
     tidy(spark)  # counting is over: its shuffles can go
-    done = written(scored(known, model), "scored")
-    rest = done.select("row", F.explode(F.arrays_zip("keys", "times")).alias("t")).select("row", F.col("t.keys").alias("key"), F.col("t.times").alias("times"))
-    met = written(rest.join(vocab, "key").groupBy("row").agg(F.sum("times").alias("n_tail"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("tail")), "tails")
-    base = written(done.drop("keys", "times", "context", "word"), "scores")
+    bits, tasks = max(LEAST_BITS, (n // GROUP).bit_length()), max(2 * spark.sparkContext.defaultParallelism, n // TASK + 1)
+    done = written(met(scored(known, model, bits).unionByName(packed_words(vocab, bits)), tasks), "scored")
     discard(counted)
-    tidy(spark)
-    gain = gains(done)
-    tidy(spark)
+    base = done.where("n_tokens IS NOT NULL").drop("gain", "n_tail", "tail")
+    sums = done.where("n_tokens IS NULL").groupBy("row").agg(*[F.sum(c).alias(c) for c in ("gain", "n_tail", "tail")])
+    tidy(spark)  # the places have met
     zero = lambda x: F.coalesce(x, F.lit(0))
-    return base.join(met, "row", "left").join(gain, "row", "left").select(
+    return base.join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_head") + zero("n_tail")).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),

@@ -79,11 +79,12 @@ def _sweep(spark: SparkSession) -> None:
 
 def tidy(spark: SparkSession) -> None:
     """Deletes the tables that no DataFrame reaches any more, now."""
-    spark.range(0).collect()  # in place of the plan that ran last, which Spark remembers
-    gc.collect()  # JVM objects are let go by Python's collector
-    for _ in range(2):
-        spark.sparkContext._jvm.java.lang.System.gc()
-        time.sleep(0.1)  # references are cleared beside the program
+    for _ in range(2):  # what the first round lets go may have held the shuffles of the plan before
+        spark.range(0).collect()  # in place of the plan that ran last, which Spark remembers
+        gc.collect()  # JVM objects are let go by Python's collector
+        for _ in range(2):
+            spark.sparkContext._jvm.java.lang.System.gc()
+            time.sleep(0.2)  # references are cleared beside the program
     _sweep(spark)
 
 
