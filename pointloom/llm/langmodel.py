@@ -382,15 +382,29 @@ def train(docs: DataFrame, vocab: DataFrame, pairs: np.ndarray) -> tuple[Tree, t
     return tree, (int(n), int(v), head["key"].to_numpy(), np.log10(head["n"].to_numpy() + 1.0))
 
 
+def squeezed(columns: Sequence[np.ndarray]) -> bytes:
+    """Numbers as planes of bytes, each of them raw or by zstd, whichever is shorter."""
+    zstd = pa.Codec("zstd", compression_level=1)
+    planes = [bytes(x) for c in columns for x in np.ascontiguousarray(c.view("u1").reshape(len(c), -1).T)]
+    planes = [min(x, zstd.compress(x, asbytes=True), key=len) for x in planes]
+    return b"".join([np.array([len(x) for x in planes], "u4").tobytes(), *planes])
+
+
+def spread(packed: bytes, n: int, widths: Sequence[int]) -> list[np.ndarray]:
+    """The unsigned numbers again, of so many bytes each."""
+    sizes = np.frombuffer(packed, "u4", sum(widths))
+    ends = 4 * len(sizes) + np.cumsum(sizes)
+    parts = (packed[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True))
+    planes = np.frombuffer(b"".join(x if len(x) == n else pa.decompress(x, decompressed_size=n, codec="zstd", asbytes=True) for x in parts), "u1")
+    return [np.ascontiguousarray(c.reshape(-1, n).T).view(f"u{w}").ravel() for c, w in zip(np.split(planes, n * np.cumsum(widths)[:-1]), widths, strict=True)]
+
+
 class Pack:
     """Places on their way to the task that has all of their context, about 14 bytes each. Words, with how often a row or the corpus has them, go the same way.
 
     Contexts are dealt over groups by their first bits. ``WAIT`` places are put in order together; those of a group are one row:
     equal ones counted, contexts as differences, numbers as planes of bytes, each of them raw or by zstd, whichever is shorter.
     """
-
-    PLANES = 24
-
     def __init__(self, bits: int, kind: int):
         self.bits, self.kind, self.size, self.first = bits, kind, 0, 0
         self.waiting: list[tuple[np.ndarray, ...]] = []
@@ -421,21 +435,14 @@ class Pack:
         who, context, word = who[fresh], context[fresh], word[fresh]
         group = (context >> np.uint64(64 - self.bits)).astype("i8")
         edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-        zstd = pa.Codec("zstd", compression_level=1)
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             parts = np.diff(context[a:b], prepend=np.uint64(0)), word[a:b], who[a:b], times[a:b]
-            planes = [bytes(x) for part in parts for x in np.ascontiguousarray(part.view("u1").reshape(b - a, -1).T)]
-            planes = [min(x, zstd.compress(x, asbytes=True), key=len) for x in planes]
-            yield int(group[a]), self.kind, self.first, int(b - a), b"".join([np.array([len(x) for x in planes], "u4").tobytes(), *planes])
+            yield int(group[a]), self.kind, self.first, int(b - a), squeezed(parts)
 
     @staticmethod
     def unpacked(first: int, n: int, packed: bytes) -> tuple[np.ndarray, ...]:
         """who, context, word, times."""
-        sizes = np.frombuffer(packed, "u4", Pack.PLANES)
-        ends = 4 * Pack.PLANES + np.cumsum(sizes)
-        parts = (packed[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True))
-        planes = np.frombuffer(b"".join(x if len(x) == n else pa.decompress(x, decompressed_size=n, codec="zstd", asbytes=True) for x in parts), "u1")
-        context, word, who, times = (np.ascontiguousarray(planes[n * a : n * b].reshape(b - a, n).T).view(f"u{b - a}").ravel() for a, b in ((0, 8), (8, 16), (16, 20), (20, 24)))
+        context, word, who, times = spread(packed, n, (8, 8, 4, 4))
         return who.astype("i8") + 2 * first, np.cumsum(context, dtype="u8"), word, times.astype("i8")
 
 
@@ -549,10 +556,51 @@ def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return rows, *(np.bincount(at, x, len(rows)) for x in values)
 
 
+class Sums:
+    """(row, gain, n_tail, tail) in rows of ``_SUMS``, by the row's remainder: packed, sums in 2 ** -32, so that they are half as long."""
+
+    @staticmethod
+    def packed(tasks: int, row: np.ndarray, gain: np.ndarray, n_tail: np.ndarray, tail: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        order = np.lexsort((row, row % tasks))
+        bucket, row = (row % tasks)[order], row[order]
+        whole = [np.rint(x[order] * y).astype("i8") for x, y in ((gain, 2.0**32), (n_tail, 1), (tail, 2.0**32))]
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield int(bucket[a]), int(b - a), squeezed([np.diff(row[a:b], prepend=0), *((x[a:b] << 1) ^ (x[a:b] >> 63) for x in whole)])
+
+    @staticmethod
+    def unpacked(n: int, packed: bytes) -> tuple[np.ndarray, ...]:
+        row, *whole = (x.view("i8") for x in spread(packed, n, (8, 8, 8, 8)))
+        gain, n_tail, tail = ((x.view("u8") >> np.uint64(1)).view("i8") ^ -(x & 1) for x in whole)
+        return np.cumsum(row), gain, n_tail, tail
+
+
+def total(sums: DataFrame, tasks: int) -> DataFrame:
+    """One row for each row: row, gain, n_tail, tail."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        for batch in batches:
+            for n, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                row, *whole = Sums.unpacked(n, data)
+                found.append((row, *(x.astype("f8") for x in whole)))  # below 2 ** 53: exact
+                size += n
+                if size > WAIT:
+                    found = [summed(found)]
+                    size = 0
+        if found:
+            row, gain, n_tail, tail = summed(found)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(gain / 2.0**32), pa.array(n_tail.astype("i8")), pa.array(tail / 2.0**32)], ["row", "gain", "n_tail", "tail"])
+
+    return map_arrow(sums.repartition(tasks, "bucket"), run, "row long, gain double, n_tail long, tail double")
+
+
+_SUMS = "bucket int, n int, sums binary"
+
+
 def met(packed: DataFrame, tasks: int) -> DataFrame:
-    """The rows of ``scored``, and (row, gain, n_tail, tail) of what met in a task, summed by row."""
-    names = [*_NAMES[5:], "gain", "n_tail", "tail"]
-    last = [pa.float64(), pa.int64(), pa.float64()]
+    """The rows of ``scored``, and of ``Sums``: what met in a task, summed by row."""
+    names, last = [*_NAMES[5:], "bucket", "n", "sums"], [pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group, found, size = None, ([], [], []), [], 0
@@ -573,8 +621,8 @@ def met(packed: DataFrame, tasks: int) -> DataFrame:
             return sum(len(x[0]) for x in found[before:])
 
         def out() -> pa.RecordBatch:
-            row, *sums = found[0]
-            return pa.RecordBatch.from_arrays([pa.array(row), *[pa.nulls(len(row), t) for t in _TYPES[6:]], *[pa.array(x).cast(t) for x, t in zip(sums, last, strict=True)]], names)
+            rows = list(zip(*Sums.packed(tasks, *found[0]), strict=True))
+            return pa.RecordBatch.from_arrays([*[pa.nulls(len(rows[0]), t) for t in _TYPES[5:]], *[pa.array(x, t) for x, t in zip(rows, last, strict=True)]], names)
 
         for batch in batches:
             own = batch.filter(pc.is_null(batch["packed"])).select(_NAMES[5:])
@@ -598,9 +646,10 @@ def met(packed: DataFrame, tasks: int) -> DataFrame:
             settle()
         if found:
             found[:] = [summed(found)]
-            yield out()
+            if len(found[0][0]):
+                yield out()
 
-    return map_arrow(packed.repartition(tasks, "part").sortWithinPartitions("part"), run, f"{_SCORED}, gain double, n_tail long, tail double")
+    return map_arrow(packed.repartition(tasks, "part").sortWithinPartitions("part"), run, f"{_SCORED}, {_SUMS}")
 
 
 def score_texts(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
@@ -626,8 +675,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     bits, tasks = max(LEAST_BITS, (n // GROUP).bit_length()), max(2 * spark.sparkContext.defaultParallelism, n // TASK + 1)
     done = written(met(scored(known, model, bits).unionByName(packed_words(vocab, bits)), tasks), "scored")
     discard(counted)
-    base = done.where("n_tokens IS NOT NULL").drop("gain", "n_tail", "tail")
-    sums = done.where("n_tokens IS NULL").groupBy("row").agg(*[F.sum(c).alias(c) for c in ("gain", "n_tail", "tail")])
+    base, sums = done.where("sums IS NULL").drop("bucket", "n", "sums"), total(done.where("sums IS NOT NULL").select("bucket", "n", "sums"), tasks)
     tidy(spark)  # the places have met
     zero = lambda x: F.coalesce(x, F.lit(0))
     return base.join(sums, "row", "left").select(
