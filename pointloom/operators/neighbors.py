@@ -192,7 +192,8 @@ class Held:
 
 
 def held_join(q: DataFrame, t: DataFrame, k: int, radius: float = np.inf, carry: Sequence[str] = ()) -> DataFrame | None:
-    """(qid, rank, nid, d2) and the columns of ``near_pairs`` with ``carry``; None where ``t`` has more than ``MOST_HELD`` points.
+    """(qid, rank, nid, d2) and the columns of ``near_pairs`` with ``carry``; None where ``t`` has more than ``MOST_HELD`` points,
+    of each place's the ``k`` first.
 
     A written table of targets is gathered once for all searches of the same kind.
     """
@@ -200,8 +201,14 @@ def held_join(q: DataFrame, t: DataFrame, k: int, radius: float = np.inf, carry:
     t, kept = finite(t.selectExpr("pid", *[f"cast({c} as double) AS d{c}" for c in XYZ], *[f"{c} AS t_{c}" for c in carry]), ("dx", "dy", "dz")), t.__dict__
     kind, known = (k, radius, *carry), kept.get("_held", {})
     if kind not in known:
-        if t.count() > MOST_HELD:
-            return None
+        if t.count() > MOST_HELD:  # of copies at one place, the k first are enough
+            place = ["dx", "dy", "dz"]
+            if t.agg(F.approx_count_distinct(F.struct(*place))).first()[0] > MOST_HELD:
+                return None
+            nth = F.row_number().over(Window.partitionBy(*place).orderBy("pid"))
+            t = written(t.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth"), "places")
+            if t.count() > MOST_HELD:
+                return None
         nested = dict(t.dtypes)["pid"].startswith(("struct", "array"))  # Arrow doesn't order these
         rows = (t.orderBy("pid") if nested else t).toArrow().combine_chunks()
         if not nested:

@@ -78,3 +78,16 @@ def test_ids_of_several_columns(spark):
     q, t = (frame(spark, p, k).selectExpr(f"struct({k} div 7 AS a, {k} AS b) AS {k}", "x", "y", "z") for k in ("qid", "pid"))
     got = sorted((r.qid.b, r.rank, r.nid.b, r.d2) for r in N.knn_join(q, t, 3).collect())
     assert got == brute(p, p, 3, np.inf)
+
+
+def test_copies_at_few_places_are_held(spark, monkeypatch):
+    """More targets than tasks may hold, but at few places: no ring meets every copy."""
+    monkeypatch.setattr(N, "MOST_HELD", 40)
+    monkeypatch.setattr(N, "rings", None)
+    p = clouds()["ties"]
+    t = np.concatenate([p[:6]] * 30 + [[[-0.0, 0.0, 0.0], [0.0, 0.0, -0.0]]])
+    q = np.concatenate([p[:20], [[0.0, 0.0, 0.0]]])
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    asked, held = frame(spark, q, "qid"), frame(spark, t, "pid")
+    assert rows(N.hybrid_join(asked, held, 5.0, 4)) == brute(q, t, 4, 5.0)
+    assert rows(N.nearest_within(asked, held, 5.0)) == [(i, j, d) for i, _, j, d in brute(q, t, 1, 5.0)]
