@@ -49,7 +49,11 @@ CELLS = 8_000_000
 HEAD = 1e-5
 #: Places that a task puts in order at once; training tokens to a group of contexts, of which there are 2 ** LEAST_BITS or more, and to a task that has groups.
 WAIT, GROUP, LEAST_BITS, TASK = 1 << 20, 1 << 21, 9, 4_000_000
+#: How a plane of bytes is kept (0: it is all zeros), and how many of its bytes show whether zstd is worth trying.
+RAW, ZSTD, PROBE = 1, 2, 4096
 SLICE, FLUSH = 1 << 20, 150_000
+#: Words that places may have by number, not by hash: as many as a task of the first counts names, and as there are at last. No result depends on them.
+COMMON, NONE = 4095, np.zeros(0, "u4")
 END = b"\n"
 _AZ = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -206,12 +210,25 @@ def bodies_of(texts: pa.Array) -> list[bytes]:
     return [b" ".join(tokens_of(t.as_py())) + END for t in texts]
 
 
+def most_common(words: Counter) -> tuple[np.ndarray, list[int]]:
+    """32 bits of the hashes of the most frequent words with a blank behind them, and their counts."""
+    few = [(w, n) for w, n in words.most_common(COMMON + 1) if w != END][:COMMON]
+    data = np.frombuffer(b"".join(w + b" " for w, _ in few), "u1")
+    ends = np.flatnonzero(data == 32) + 1
+    begins = np.concatenate([[0], ends[:-1]])[: len(ends)]
+    return (Hashes(data).of(begins, ends) >> np.uint64(32)).view("i8"), [n for _, n in few]
+
+
 def first_counts(docs: DataFrame) -> DataFrame:
-    """(kind, key, n): 0 for words by hash, 1 for pairs of bytes; each task's sums, words flushed in bounded parts."""
+    """(kind, key, n): 0 for words by hash, 1 for pairs of bytes; each task's sums, words flushed in bounded parts.
+
+    Of a task's first part, kind 2 has the ``COMMON`` most frequent words as places have them: 32 bits of hash, a blank behind them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         pairs = np.zeros(65536, "i8")
+        named = False
 
         def rows(kind: int, keys, n) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, "i4")), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["kind", "key", "n"])
@@ -226,8 +243,13 @@ def first_counts(docs: DataFrame) -> DataFrame:
                     code = data[:-1].astype("i4") * 256 + data[1:]
                     pairs += np.bincount(code[told[1:]], minlength=65536)
                 if len(words) > FLUSH:
+                    if not named:
+                        yield rows(2, *most_common(words))
+                        named = True
                     yield rows(0, keys_of(words, len(words)), list(words.values()))
                     words.clear()
+        if not named:
+            yield rows(2, *most_common(words))
         yield rows(0, keys_of(words, len(words)), list(words.values()))
         used = np.flatnonzero(pairs)
         yield rows(1, used, pairs[used])
@@ -382,31 +404,61 @@ def train(docs: DataFrame, vocab: DataFrame, pairs: np.ndarray) -> tuple[Tree, t
     return tree, (int(n), int(v), head["key"].to_numpy(), np.log10(head["n"].to_numpy() + 1.0))
 
 
-def squeezed(columns: Sequence[np.ndarray]) -> bytes:
-    """Numbers as planes of bytes, each of them raw or by zstd, whichever is shorter."""
-    zstd = pa.Codec("zstd", compression_level=1)
-    planes = [bytes(x) for c in columns for x in np.ascontiguousarray(c.view("u1").reshape(len(c), -1).T)]
-    planes = [min(x, zstd.compress(x, asbytes=True), key=len) for x in planes]
-    return b"".join([np.array([len(x) for x in planes], "u4").tobytes(), *planes])
-
+def squeezed(columns: Sequence[np.ndarray], edges: Sequence[np.ndarray]) -> Iterator[bytes]:
+    """Of each part, the numbers between two edges of every column: planes of bytes, those of zeros left out, the others raw or by zstd, whichever is shorter.
 
-def spread(packed: bytes, n: int, widths: Sequence[int]) -> list[np.ndarray]:
-    """The unsigned numbers again, of so many bytes each."""
-    sizes = np.frombuffer(packed, "u4", sum(widths))
-    ends = 4 * len(sizes) + np.cumsum(sizes)
-    parts = (packed[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True))
-    planes = np.frombuffer(b"".join(x if len(x) == n else pa.decompress(x, decompressed_size=n, codec="zstd", asbytes=True) for x in parts), "u1")
-    return [np.ascontiguousarray(c.reshape(-1, n).T).view(f"u{w}").ravel() for c, w in zip(np.split(planes, n * np.cumsum(widths)[:-1]), widths, strict=True)]
+    Whether zstd is tried is seen from a plane's first bytes in all parts. A part begins with two bits for each plane and the sizes of those by zstd.
+    """
+    zstd = pa.Codec("zstd", compression_level=1)
+    planes = [x for c in columns for x in np.ascontiguousarray(c.view("u1").reshape(len(c), -1).T)]
+    ends = [e.tolist() for c, e in zip(columns, edges, strict=True) for _ in range(c.itemsize)]
+    used = [(2 * i, bytes(x), e, len(zstd.compress(few := x[:PROBE], asbytes=True)) < 0.98 * len(few)) for i, (x, e) in enumerate(zip(planes, ends, strict=True)) if x.any()]
+    for k in range(len(ends[0]) - 1):
+        modes, sizes, parts = 0, [], []
+        for at, plane, e, dense in used:
+            x = plane[e[k] : e[k + 1]]
+            if not dense:
+                modes |= RAW << at
+            elif x.count(0) == len(x):
+                continue
+            elif len(z := zstd.compress(x, asbytes=True)) + 4 < len(x):
+                modes |= ZSTD << at
+                sizes.append(len(z))
+                x = z
+            else:
+                modes |= RAW << at
+            parts.append(x)
+        yield b"".join([modes.to_bytes((len(planes) + 3) // 4, "little"), np.array(sizes, "u4").tobytes(), *parts])
+
+
+def spread(packed: bytes, lengths: Sequence[int | None], widths: Sequence[int]) -> list[np.ndarray]:
+    """The unsigned numbers of a part again: of each column how many (None: as many as the column before has zeros), and of how many bytes."""
+    head = (sum(widths) + 3) // 4
+    modes = [packed[i // 4] >> i % 4 * 2 & 3 for i in range(sum(widths))]
+    sizes = iter(np.frombuffer(packed, "u4", modes.count(ZSTD), head).tolist())
+    at, planes, out = head + 4 * modes.count(ZSTD), iter(modes), []
+    for n, width in zip(lengths, widths, strict=True):
+        n = len(out[-1]) - np.count_nonzero(out[-1]) if n is None else n
+        column = np.zeros((n, width), "u1")
+        for k, mode in zip(range(width), planes):  # noqa: B905
+            if mode:
+                x = packed[at : (at := at + (n if mode == RAW else next(sizes)))]
+                column[:, k] = np.frombuffer(x if mode == RAW else pa.decompress(x, decompressed_size=n, codec="zstd", asbytes=True), "u1")
+        out.append(column.view(f"u{width}").ravel())
+    return out
 
 
 class Pack:
-    """Places on their way to the task that has all of their context, about 14 bytes each. Words, with how often a row or the corpus has them, go the same way.
+    """Places on their way to the task that has all of their context, about 11 bytes each. Words, with how often a row or the corpus has them, go the same way.
 
     Contexts are dealt over groups by their first bits. ``WAIT`` places are put in order together; those of a group are one row:
-    equal ones counted, contexts as differences, numbers as planes of bytes, each of them raw or by zstd, whichever is shorter.
+    equal ones counted, a context once, as its difference from the one before, a word once behind a context, by number if it is one of ``common``
+    (most frequent first), and all numbers as planes of bytes.
     """
-    def __init__(self, bits: int, kind: int):
+    def __init__(self, bits: int, kind: int, common: np.ndarray = NONE):
         self.bits, self.kind, self.size, self.first = bits, kind, 0, 0
+        self.common, self.numbers = np.concatenate([np.zeros(1, "u4"), common]), np.zeros(1 << 16, "u2")
+        self.numbers[common[::-1] >> np.uint32(16)] = np.arange(len(common), 0, -1)  # of two in one place the more frequent
         self.waiting: list[tuple[np.ndarray, ...]] = []
 
     def add(self, who: np.ndarray, context: np.ndarray, word: np.ndarray) -> None:
@@ -430,20 +482,44 @@ class Pack:
         self.waiting, self.size = [], 0
         order = np.argsort(context, kind="stable")
         who, context, word = who[order], context[order], word[order]
-        fresh = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1]) | (who[1:] != who[:-1])]))
-        times = np.diff(fresh, append=len(context)).astype("u4")
-        who, context, word = who[fresh], context[fresh], word[fresh]
+        new = np.concatenate([[True], context[1:] != context[:-1], [True]])
+        several = np.flatnonzero(~(new[:-1] & new[1:]))  # of contexts that occur again: by word
+        order = several[np.lexsort((word[several], context[several]))]
+        who[several], word[several] = who[order], word[order]
+        kind = new[:-1].astype("u1") + np.concatenate([[True], new[1:-1] | (word[1:] != word[:-1])])  # 2: a context, 1: a word that it has not had
+        fresh = np.flatnonzero(np.concatenate([[True], (kind[1:] > 0) | (who[1:] != who[:-1])]))
+        times = np.diff(fresh, append=len(context)).astype("u4") - np.uint32(1)
+        kind, who = kind[fresh], who[fresh]
+        of_context, of_word = np.flatnonzero(kind == 2), np.flatnonzero(kind)
+        context, word = context[fresh[of_context]], word[fresh[of_word]]
         group = (context >> np.uint64(64 - self.bits)).astype("i8")
-        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            parts = np.diff(context[a:b], prepend=np.uint64(0)), word[a:b], who[a:b], times[a:b]
-            yield int(group[a]), self.kind, self.first, int(b - a), squeezed(parts)
+        contexts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+        step = np.diff(context, prepend=context[:1])
+        step[contexts[:-1]] = 0
+        places = np.append(of_context, len(kind))[contexts]
+        words = np.searchsorted(of_word, places)
+        follow, low = (word >> np.uint64(32)).astype("u4"), word.astype("u4")
+        number = self.numbers[follow >> np.uint32(16)]
+        number[self.common[number] != follow] = 0
+        other = np.flatnonzero(number == 0)
+        others = np.searchsorted(other, words)
+        parts = squeezed((kind, step, number, follow[other], low, who, times), (places, contexts, words, others, words, places, places))
+        heads = np.stack([context[contexts[:-1]], np.diff(contexts).astype("u8") << np.uint64(32) | np.diff(words).astype("u8")], 1)
+        for at, n, head, part in zip(group[contexts[:-1]].tolist(), np.diff(places).tolist(), heads, parts, strict=True):
+            yield at, self.kind, self.first, n, head.tobytes() + part
 
     @staticmethod
-    def unpacked(first: int, n: int, packed: bytes) -> tuple[np.ndarray, ...]:
+    def unpacked(first: int, n: int, packed: bytes, common: np.ndarray = NONE) -> tuple[np.ndarray, ...]:
         """who, context, word, times."""
-        context, word, who, times = spread(packed, n, (8, 8, 4, 4))
-        return who.astype("i8") + 2 * first, np.cumsum(context, dtype="u8"), word, times.astype("i8")
+        context, sizes = np.frombuffer(packed, "u8", 2)
+        contexts, words = int(sizes) >> 32, int(sizes) & 0xFFFFFFFF
+        kind, step, number, follow, low, who, times = spread(packed[16:], (n, contexts, words, None, words, n, n), (1, 8, 2, 4, 4, 4, 4))
+        step[0] = context
+        word = np.concatenate([np.zeros(1, "u4"), common])[number].astype("u8")
+        word[number == 0] = follow
+        word = word << np.uint64(32) | low
+        context, word = np.cumsum(step, dtype="u8")[np.cumsum(kind == 2) - 1], word[np.cumsum(kind > 0) - 1]
+        return who.astype("i8") + 2 * first, context, word, times.astype("i8") + 1
 
 
 _PACKED = "part int, kind int, first long, places int, packed binary"
@@ -467,16 +543,16 @@ def packed_words(vocab: DataFrame, bits: int) -> DataFrame:
     return map_arrow(vocab.select("key", "n"), run, f"{_PACKED}, {_SCORED}")
 
 
-def scored(docs: DataFrame, model: tuple[Tree, tuple], bits: int) -> DataFrame:
+def scored(docs: DataFrame, model: tuple[Tree, tuple], bits: int, common: np.ndarray) -> DataFrame:
     """Per row of ``docs`` (row, doc_id, held_out, text): token counts and scores.
 
     Beside them, by ``part``, what is left to meet: rows of ``Pack`` with the places of long contexts, and with the words that aren't frequent.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((*model, common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, (_, _, head, logs) = shared.value
-        packs = Pack(bits, PLACES), Pack(bits, RARE)
+        tree, (_, _, head, logs), common = shared.value
+        packs = Pack(bits, PLACES, common), Pack(bits, RARE)
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
@@ -565,12 +641,15 @@ class Sums:
         bucket, row = (row % tasks)[order], row[order]
         whole = [np.rint(x[order] * y).astype("i8") for x, y in ((gain, 2.0**32), (n_tail, 1), (tail, 2.0**32))]
         edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield int(bucket[a]), int(b - a), squeezed([np.diff(row[a:b], prepend=0), *((x[a:b] << 1) ^ (x[a:b] >> 63) for x in whole)])
+        step = np.diff(row, prepend=0)
+        step[edges[:-1]] = row[edges[:-1]]
+        parts = squeezed([step, *((x << 1) ^ (x >> 63) for x in whole)], [edges] * 4)
+        for a, b, part in zip(edges[:-1], edges[1:], parts, strict=True):
+            yield int(bucket[a]), int(b - a), part
 
     @staticmethod
     def unpacked(n: int, packed: bytes) -> tuple[np.ndarray, ...]:
-        row, *whole = (x.view("i8") for x in spread(packed, n, (8, 8, 8, 8)))
+        row, *whole = (x.view("i8") for x in spread(packed, [n] * 4, (8, 8, 8, 8)))
         gain, n_tail, tail = ((x.view("u8") >> np.uint64(1)).view("i8") ^ -(x & 1) for x in whole)
         return np.cumsum(row), gain, n_tail, tail
 
@@ -598,8 +677,16 @@ def total(sums: DataFrame, tasks: int) -> DataFrame:
 _SUMS = "bucket int, n int, sums binary"
 
 
-def met(packed: DataFrame, tasks: int) -> DataFrame:
+class Packed(NamedTuple):
+    """Rows of ``scored`` and ``packed_words``, and the words that their places have by number."""
+
+    rows: DataFrame
+    common: np.ndarray
+
+
+def met(packed: Packed, tasks: int) -> DataFrame:
     """The rows of ``scored``, and of ``Sums``: what met in a task, summed by row."""
+    shared = packed.rows.sparkSession.sparkContext.broadcast(packed.common)
     names, last = [*_NAMES[5:], "bucket", "n", "sums"], [pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -641,7 +728,7 @@ def met(packed: DataFrame, tasks: int) -> DataFrame:
                         found.clear()
                         size = 0
                 now = at
-                group[kind].append(Pack.unpacked(first, places, data))
+                group[kind].append(Pack.unpacked(first, places, data, shared.value if kind == PLACES else NONE))
         if any(group):
             settle()
         if found:
@@ -649,7 +736,7 @@ def met(packed: DataFrame, tasks: int) -> DataFrame:
             if len(found[0][0]):
                 yield out()
 
-    return map_arrow(packed.repartition(tasks, "part").sortWithinPartitions("part"), run, f"{_SCORED}, {_SUMS}")
+    return map_arrow(packed.rows.repartition(tasks, "part").sortWithinPartitions("part"), run, f"{_SCORED}, {_SUMS}")
 
 
 def score_texts(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
@@ -669,11 +756,13 @@ def score_texts(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     pairs = np.zeros(65536, "i8")
     pairs[got["key"].to_numpy()] = got["n"].to_numpy()
     vocab = counted.where("kind = 0").select("key", "n")
+    named = counted.where("kind = 2").orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    common = named["key"].to_numpy().astype("u4")
     model = train(learn, vocab, pairs.reshape(256, 256))
     n, v, _, _ = model[1]
     tidy(spark)  # counting is over: its shuffles can go
     bits, tasks = max(LEAST_BITS, (n // GROUP).bit_length()), max(2 * spark.sparkContext.defaultParallelism, n // TASK + 1)
-    done = written(met(scored(known, model, bits).unionByName(packed_words(vocab, bits)), tasks), "scored")
+    done = written(met(Packed(scored(known, model, bits, common).unionByName(packed_words(vocab, bits)), common), tasks), "scored")
     discard(counted)
     base, sums = done.where("sums IS NULL").drop("bucket", "n", "sums"), total(done.where("sums IS NOT NULL").select("bucket", "n", "sums"), tasks)
     tidy(spark)  # the places have met

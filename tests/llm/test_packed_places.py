@@ -1,5 +1,7 @@
 """Places of long contexts are shuffled once, packed; however they are cut into packs, the scores are the same."""
 
+from collections import Counter
+
 import brute
 import numpy as np
 import pytest
@@ -41,3 +43,60 @@ def test_packs_of_any_size_score_alike(spark, monkeypatch, wait, bits, tasks):
     found = sorted((x.doc_id, x.held_out, x.score) for x in langmodel.score_texts(known).select("doc_id", "held_out", "score").collect())
     assert [x[:2] for x in found] == [x[:2] for x in want]
     assert np.allclose([x[2] for x in found], [x[2] for x in want], atol=2e-3)
+
+
+def places(n: int, common: int):
+    """Zipfian next words behind contexts of which one in eight occurs again."""
+    r = np.random.default_rng(8)
+    follow = r.integers(1, 1 << 32, 50_000, dtype="u8")
+    next_word = np.minimum(r.zipf(1.3, n) - 1, len(follow) - 1)
+    context = r.integers(0, 1 << 63, n, dtype="u8") * np.uint64(2)
+    again = r.integers(0, n, n // 8)
+    context[again], next_word[again] = context[0:-1:8][: len(again)], next_word[0:-1:8][: len(again)]
+    log = (next_word.astype("u8") * np.uint64(7919) + np.uint64(20_000)) % np.uint64(200_000)
+    return np.sort(r.integers(0, n // 500, n)) * 2 + (1 << 33), context, follow[next_word] << np.uint64(32) | log, follow[:common].astype("u4")
+
+
+@pytest.mark.parametrize(("bits", "most"), [(5, 10.0), (9, 11.5)])
+def test_repeated_contexts_and_frequent_words_cost_less_in_groups_of_any_size(bits, most):
+    who, context, word, common = places(200_000, 4095)
+    pack = langmodel.Pack(bits, langmodel.PLACES, common)
+    pack.add(who, context, word)
+    rows = list(pack.rows())
+    assert sum(len(x[-1]) for x in rows) < most * len(who)  # 11.4 and 13.7 when each place had its context and hash
+    got = [np.concatenate(x) for x in zip(*(langmodel.Pack.unpacked(*x[2:], common) for x in rows), strict=True)]
+    found = sorted(x for w, c, f, t in [got] for x in np.repeat(np.stack([w.astype("u8"), c, f], 1), t, 0).tolist())
+    assert found == sorted(np.stack([who.astype("u8"), context, word], 1).tolist())
+
+
+def test_words_of_several_rows_cost_less():
+    r = np.random.default_rng(9)
+    who, keys = np.sort(r.integers(0, 400, 100_000)) * 2, r.integers(0, 1 << 62, 30_000, dtype="u8")[r.integers(0, 30_000, 100_000)]
+    pack = langmodel.Pack(5, langmodel.RARE)
+    pack.add(who, keys, np.ones(len(who), "i8"))
+    rows = list(pack.rows())
+    assert sum(len(x[-1]) for x in rows) < 3.6 * len(who)  # 4.2 when each row had its key
+
+
+def test_the_named_words_are_those_that_places_have():
+    body = b"x a bb ccc a bb a a bb y"
+    common, n = langmodel.most_common(Counter(body.split()) + Counter({langmodel.END: 9}))
+    assert n == [4, 3, 1, 1, 1]
+    data, told, starts, numbers = next(langmodel.slices([body + langmodel.END], langmodel.DEPTH))
+    places, _ = langmodel.places_of(data, told, starts, numbers, np.zeros(len(data)))
+    hashes = (places.word.view("u8") >> np.uint64(32)).view("i8")  # of: ccc a bb a a bb y
+    a, bb = common[:2]
+    assert hashes.tolist()[1:6] == [a, bb, a, a, bb]
+    assert langmodel.most_common(Counter({langmodel.END: 1}))[1] == []
+
+
+def test_a_part_is_read_as_it_was_written():
+    r = np.random.default_rng(10)
+    number = r.integers(0, 3, 900).astype("u2")
+    columns = [number, r.integers(0, 1 << 32, int((number == 0).sum())).astype("u4"), np.zeros(900, "u8"), r.integers(0, 2, 900).astype("u8") << np.uint64(40)]
+    rows = np.array([0, 1, 70, 70, 900])
+    edges = [rows, np.concatenate([[0], np.cumsum(number == 0)])[rows], rows, rows]
+    for k, part in enumerate(langmodel.squeezed(columns, edges)):
+        n = int(rows[k + 1] - rows[k])
+        got = langmodel.spread(part, [n, None, n, n], (2, 4, 8, 8))
+        assert all((x == c[e[k] : e[k + 1]]).all() for x, c, e in zip(got, columns, edges, strict=True))
