@@ -25,7 +25,7 @@ their counts as places meet their contexts. So frequent words, the skewed keys,
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
 from typing import NamedTuple
 
@@ -410,7 +410,7 @@ def squeezed(columns: Sequence[np.ndarray], edges: Sequence[np.ndarray]) -> Iter
     Whether zstd is tried is seen from a plane's first bytes in all parts. A part begins with two bits for each plane and the sizes of those by zstd.
     """
     zstd = pa.Codec("zstd", compression_level=1)
-    planes = [x for c in columns for x in np.ascontiguousarray(c.view("u1").reshape(len(c), -1).T)]
+    planes = [x for c in columns for x in np.ascontiguousarray(c.view("u1").reshape(len(c), c.itemsize).T)]
     ends = [e.tolist() for c, e in zip(columns, edges, strict=True) for _ in range(c.itemsize)]
     used = [(2 * i, bytes(x), e, len(zstd.compress(few := x[:PROBE], asbytes=True)) < 0.98 * len(few)) for i, (x, e) in enumerate(zip(planes, ends, strict=True)) if x.any()]
     for k in range(len(ends[0]) - 1):
@@ -431,14 +431,14 @@ def squeezed(columns: Sequence[np.ndarray], edges: Sequence[np.ndarray]) -> Iter
         yield b"".join([modes.to_bytes((len(planes) + 3) // 4, "little"), np.array(sizes, "u4").tobytes(), *parts])
 
 
-def spread(packed: bytes, lengths: Sequence[int | None], widths: Sequence[int]) -> list[np.ndarray]:
-    """The unsigned numbers of a part again: of each column how many (None: as many as the column before has zeros), and of how many bytes."""
+def spread(packed: bytes, lengths: Sequence[int | Callable], widths: Sequence[int]) -> list[np.ndarray]:
+    """The unsigned numbers of a part again: of each column how many, or how that follows from the columns before, and of how many bytes."""
     head = (sum(widths) + 3) // 4
     modes = [packed[i // 4] >> i % 4 * 2 & 3 for i in range(sum(widths))]
     sizes = iter(np.frombuffer(packed, "u4", modes.count(ZSTD), head).tolist())
     at, planes, out = head + 4 * modes.count(ZSTD), iter(modes), []
     for n, width in zip(lengths, widths, strict=True):
-        n = len(out[-1]) - np.count_nonzero(out[-1]) if n is None else n
+        n = n if isinstance(n, int) else n(out)
         column = np.zeros((n, width), "u1")
         for k, mode in zip(range(width), planes):  # noqa: B905
             if mode:
@@ -513,7 +513,7 @@ class Pack:
         """who, context, word, times."""
         context, sizes = np.frombuffer(packed, "u8", 2)
         contexts, words = int(sizes) >> 32, int(sizes) & 0xFFFFFFFF
-        kind, step, number, follow, low, who, times = spread(packed[16:], (n, contexts, words, None, words, n, n), (1, 8, 2, 4, 4, 4, 4))
+        kind, step, number, follow, low, who, times = spread(packed[16:], (n, contexts, words, lambda x: np.count_nonzero(x[2] == 0), words, n, n), (1, 8, 2, 4, 4, 4, 4))
         step[0] = context
         word = np.concatenate([np.zeros(1, "u4"), common])[number].astype("u8")
         word[number == 0] = follow
@@ -633,25 +633,45 @@ def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 
 class Sums:
-    """(row, gain, n_tail, tail) in rows of ``_SUMS``, by the row's remainder: packed, sums in 2 ** -32, so that they are half as long."""
+    """(row, gain, n_tail, tail) in rows of ``_SUMS``, by the row's remainder.
+
+    Of a row there is what its remainder leaves open; of sums, only those that aren't 0, in 2 ** -32. A short tail, the sum of a few
+    words' log10, is the product of these words' numbers.
+    """
+
+    PART, SHORT = 33, 2.0**31  # as monotonically_increasing_id has the task in a row's number
 
     @staticmethod
     def packed(tasks: int, row: np.ndarray, gain: np.ndarray, n_tail: np.ndarray, tail: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         order = np.lexsort((row, row % tasks))
-        bucket, row = (row % tasks)[order], row[order]
-        whole = [np.rint(x[order] * y).astype("i8") for x, y in ((gain, 2.0**32), (n_tail, 1), (tail, 2.0**32))]
+        bucket, row, tail = (row % tasks)[order], row[order], tail[order]
+        gain, n_tail, exact = (np.rint(x).astype("i8") for x in (gain[order] * 2.0**32, n_tail[order], tail * 2.0**32))
+        product = np.rint(10.0 ** np.minimum(tail, 10))
+        short = (tail > 0) & (product < Sums.SHORT) & (np.rint(np.log10(product) * 2.0**32) == exact)
+        kind = ((gain != 0) + 2 * short + 4 * ((exact != 0) & ~short)).astype("u1")
         edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-        step = np.diff(row, prepend=0)
-        step[edges[:-1]] = row[edges[:-1]]
-        parts = squeezed([step, *((x << 1) ^ (x >> 63) for x in whole)], [edges] * 4)
-        for a, b, part in zip(edges[:-1], edges[1:], parts, strict=True):
-            yield int(bucket[a]), int(b - a), part
+        part, at = row >> Sums.PART, (row & ((1 << Sums.PART) - 1)) // tasks
+        steps = [np.diff(x, prepend=0) for x in (part, at)]
+        for step, x in zip(steps, (part, at), strict=True):
+            step[edges[:-1]] = x[edges[:-1]]
+        given = [np.flatnonzero(kind & bit) for bit in (1, 2, 4)]
+        columns = [kind, *((x << 1) ^ (x >> 63) for x in (*steps, n_tail, gain[given[0]])), product[given[1]].astype("u4"), exact[given[2]]]
+        parts = squeezed(columns, [*[edges] * 4, *(np.searchsorted(x, edges) for x in given)])
+        for a, b, data in zip(edges[:-1], edges[1:], parts, strict=True):
+            yield int(bucket[a]), int(b - a), tasks.to_bytes(4, "little") + data
 
     @staticmethod
-    def unpacked(n: int, packed: bytes) -> tuple[np.ndarray, ...]:
-        row, *whole = (x.view("i8") for x in spread(packed, [n] * 4, (8, 8, 8, 8)))
-        gain, n_tail, tail = ((x.view("u8") >> np.uint64(1)).view("i8") ^ -(x & 1) for x in whole)
-        return np.cumsum(row), gain, n_tail, tail
+    def unpacked(bucket: int, n: int, packed: bytes) -> tuple[np.ndarray, ...]:
+        tasks = int.from_bytes(packed[:4], "little")
+        given = [lambda x, bit=bit: np.count_nonzero(x[0] & bit) for bit in (1, 2, 4)]
+        kind, *whole, product, exact = spread(packed[4:], (*[n] * 4, *given), (1, 8, 8, 8, 8, 4, 8))
+        part, at, n_tail, some = ((x >> np.uint64(1)).view("i8") ^ -(x & np.uint64(1)).view("i8") for x in whole)
+        gain, tail = np.zeros(n, "i8"), np.zeros(n, "i8")
+        gain[kind & 1 > 0] = some
+        tail[kind & 2 > 0] = np.rint(np.log10(product.astype("f8")) * 2.0**32)
+        tail[kind & 4 > 0] = exact.view("i8")
+        task = np.cumsum(part) << Sums.PART
+        return task + np.cumsum(at) * tasks + (bucket - task) % tasks, gain, n_tail, tail
 
 
 def total(sums: DataFrame, tasks: int) -> DataFrame:
@@ -660,8 +680,8 @@ def total(sums: DataFrame, tasks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
         for batch in batches:
-            for n, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                row, *whole = Sums.unpacked(n, data)
+            for bucket, n, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                row, *whole = Sums.unpacked(bucket, n, data)
                 found.append((row, *(x.astype("f8") for x in whole)))  # below 2 ** 53: exact
                 size += n
                 if size > WAIT:

@@ -98,5 +98,32 @@ def test_a_part_is_read_as_it_was_written():
     edges = [rows, np.concatenate([[0], np.cumsum(number == 0)])[rows], rows, rows]
     for k, part in enumerate(langmodel.squeezed(columns, edges)):
         n = int(rows[k + 1] - rows[k])
-        got = langmodel.spread(part, [n, None, n, n], (2, 4, 8, 8))
+        got = langmodel.spread(part, [n, lambda x: int((x[0] == 0).sum()), n, n], (2, 4, 8, 8))
         assert all((x == c[e[k] : e[k + 1]]).all() for x, c, e in zip(got, columns, edges, strict=True))
+
+
+@pytest.mark.parametrize(("tasks", "parts", "share", "most"), [(41, 32, 1.0, 3.5), (1700, 1900, 0.02, 6.5)])
+def test_sums_cost_few_bytes_in_tasks_of_any_number(tasks, parts, share, most):
+    r = np.random.default_rng(11)
+    row = np.concatenate([(p << 33) + np.flatnonzero(r.random(8000) < share) for p in range(parts)])
+    n_tail = r.poisson(2, len(row)).astype("f8")
+    tail = np.array([np.log10(np.minimum(r.zipf(1.4, int(n)), 68_000) + 1.0).sum() for n in n_tail])
+    tail[:9], n_tail[:9] = (9.33, 9.34, 10, 40.5, 2**21, np.log10(2), 0, 1e-9, 300.25), 9
+    gain = np.where(r.random(len(row)) < 0.1, r.normal(1, 2, len(row)), 0)
+    packed = list(langmodel.Sums.packed(tasks, row, gain, n_tail, tail))
+    assert sum(len(x[-1]) for x in packed) < most * len(row)  # 5.2 and 13.4 when each row had its whole number and all sums
+    got = [np.concatenate(x) for x in zip(*(langmodel.Sums.unpacked(*x) for x in packed), strict=True)]
+    order = np.argsort(got[0])
+    want = row, np.rint(gain * 2.0**32), n_tail, np.rint(tail * 2.0**32)
+    assert all((x[order] == y).all() for x, y in zip(got, want, strict=True))
+
+
+@pytest.mark.parametrize("named", [0, 1, 2])
+def test_a_pack_of_named_words_alone_or_of_none(named):
+    word = np.array([7, 9, 7], "u8") << np.uint64(32) | np.uint64(5)
+    common = np.array([7, 9], "u4")[:named]
+    pack = langmodel.Pack(1, langmodel.PLACES, common)
+    pack.add(np.array([4, 4, 6]), np.array([1, 2, 3], "u8"), word)
+    who, context, got, times = langmodel.Pack.unpacked(*next(pack.rows())[2:], common)
+    assert (who.tolist(), context.tolist(), got.tolist(), times.tolist()) == ([4, 4, 6], [1, 2, 3], word.tolist(), [1, 1, 1])
+    assert not list(pack.rows())
