@@ -575,7 +575,7 @@ def scored(docs: DataFrame, model: tuple[Tree, tuple], bits: int, common: np.nda
                 packs[1].add(who[doc[rest]], keys[rest], times[rest])
                 own = [pa.array(row & ((1 << bits) - 1), pa.int32()), *[pa.nulls(len(split), t) for t in _TYPES[1:5]]]
                 yield pa.RecordBatch.from_arrays(
-                    [*own, *[batch.column(k) for k in range(3)], pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(count(times[known]).astype("i8")), pa.array(count((times[known] * logs[at[known]]) if len(head) else None)), pa.array(score)],
+                    [*own, *[batch.column(k) for k in range(3)], pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(count(times[known]).astype("i8")), pa.array(count(times[known] * logs[at[known]] if len(head) else None).astype("f8")), pa.array(score)],
                     _NAMES,
                 )
                 for pack in packs:
@@ -728,6 +728,7 @@ def met(packed: Packed, tasks: int) -> DataFrame:
             return sum(len(x[0]) for x in found[before:])
 
         def out() -> pa.RecordBatch:
+            """Of what is summed: one part."""
             rows = list(zip(*Sums.packed(tasks, *found[0]), strict=True))
             return pa.RecordBatch.from_arrays([*[pa.nulls(len(rows[0]), t) for t in _TYPES[5:]], *[pa.array(x, t) for x, t in zip(rows, last, strict=True)]], names)
 
@@ -743,10 +744,10 @@ def met(packed: Packed, tasks: int) -> DataFrame:
                     if size > WAIT // 2:
                         found[:] = [summed(found)]
                         size = len(found[0][0])
-                    if size > WAIT // 4:
-                        yield out()
-                        found.clear()
-                        size = 0
+                        if size > WAIT // 4:
+                            yield out()
+                            found.clear()
+                            size = 0
                 now = at
                 group[kind].append(Pack.unpacked(first, places, data, shared.value if kind == PLACES else NONE))
         if any(group):

@@ -127,3 +127,26 @@ def test_a_pack_of_named_words_alone_or_of_none(named):
     who, context, got, times = langmodel.Pack.unpacked(*next(pack.rows())[2:], common)
     assert (who.tolist(), context.tolist(), got.tolist(), times.tolist()) == ([4, 4, 6], [1, 2, 3], word.tolist(), [1, 1, 1])
     assert not list(pack.rows())
+
+
+EXACT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+
+
+@pytest.mark.parametrize(("wait", "head"), [(100, 0.02), (400, 0.02), (1000, 0.02), (400, 2.0), (1 << 20, 2.0)])
+def test_sums_of_several_groups_are_all_kept(spark, monkeypatch, wait, head):
+    """However many sums a task has had when it hands some on; with no frequent words as well."""
+    monkeypatch.setattr(langmodel, "LEAST_BITS", 5)
+    monkeypatch.setattr(langmodel, "HEAD", head)
+    monkeypatch.setattr(langmodel, "WAIT", wait)
+    met = langmodel.met
+    monkeypatch.setattr(langmodel, "met", lambda packed, _: met(packed, 2))
+    r = np.random.default_rng(13)
+    rows = [(i, " ".join(f"w{k}" for k in np.minimum(r.zipf(1.3, r.integers(0, 60)), 300))) for i in range(150)]
+    out = langmodel.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select(*EXACT).collect()
+    assert sorted((*x[:5], round(x.base_score, 6)) for x in out) == brute.base_scores(rows)
+
+
+def test_base_scores_with_nothing_to_learn_from(spark):
+    rows = [(i, f"a b{i}") for i in range(300) if brute.crc(i, 7) == 2]
+    out = langmodel.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).select(*EXACT).collect()
+    assert sorted((*x[:5], round(x.base_score, 6) + 0.0) for x in out) == brute.base_scores(rows)
