@@ -307,8 +307,8 @@ def normal_check(source: DataFrame, target: DataFrame, pairs: DataFrame, angle:
     return paired(source, target, pairs).join(s, "source_id").agg(F.coalesce(F.bool_and(~(dot(_N(), turned) < F.lit(math.cos(angle)))), F.lit(True)).alias("passed"))
 
 
-#: Source points that a hypothesis meets first, and how much less than the best one's share its share of them may be.
-SAMPLES, MARGIN = 2048, 0.02
+#: Source points that a hypothesis may meet first.
+SAMPLES = 2048
 
 
 def every_nth(cloud: DataFrame, n: int, most: int = SAMPLES) -> DataFrame:
@@ -350,10 +350,11 @@ def ransac(source: DataFrame, target: DataFrame, pairs: DataFrame, max_distance:
     """RANSAC over correspondences, reproducible under ``rng.seed``.
 
     Samples are drawn on the driver in iteration order. Hypotheses are fitted to ``ransac_n`` rows each, checked
-    cheaply there, and those left are scored a batch at a time on a sample of the source by one job: hypotheses times
-    points, joined to the target's grid and aggregated. A hypothesis without sampled inliers, or whose share of them falls short of
-    the best fitness by more than ``MARGIN``, is dropped; the others are scored on all points, ``chunk`` of them a job,
-    in iteration order, so that a good one spares the later ones. Drawing stops at the confidence bound, and the engine
+    cheaply there, and those left are scored on all points in iteration order, ``chunk`` of them a job (a whole batch, if the
+    points are few), so that a good one spares the later ones: hypotheses times points, joined to the target's grid and
+    aggregated. Once the best misses fewer points than a sample of the source has, a batch's hypotheses meet that sample first, and those
+    that miss more of it than the best misses of all points are dropped, since they can't be better. So the result is
+    that of scoring every hypothesis on every point. Drawing stops at the confidence bound, taken from all correspondences, and the engine
     is put back to where a one-by-one run would have left it. Correspondences, ordered by their ids, are counted before
     they are gathered: more than ``MOST_PAIRS`` are refused.
     """
@@ -379,8 +380,7 @@ def ransac(source: DataFrame, target: DataFrame, pairs: DataFrame, max_distance:
     whole = total // SAMPLES <= 1  # the sample is the source itself
     sample = source if whole else written(every_nth(source, total), "ransac-sample")
     n_sample = total if whole else sample.count()
-    stride = max(1, len(frame) // 5000)
-    best, budget, done = Result(), criteria.max_iteration, 0
+    best, most, budget, done = Result(), 0, criteria.max_iteration, 0  # most: the best one's inliers
 
     def draw() -> list[int] | None:
         rows: list[int] = []
@@ -392,9 +392,6 @@ def ransac(source: DataFrame, target: DataFrame, pairs: DataFrame, max_distance:
                 return rows
         return None
 
-    def hopeful(share: float) -> bool:
-        return share > 0 and not (best.fitness > 0 and share + MARGIN < best.fitness)
-
     while done < min(budget, criteria.max_iteration):
         states, tried = [], {}
         for itr in range(done, min(budget, criteria.max_iteration, done + batch)):
@@ -405,26 +402,30 @@ def ransac(source: DataFrame, target: DataFrame, pairs: DataFrame, max_distance:
             m = _fit(estimation, s[rows], t[rows], None if nt is None else nt[rows])
             if np.isfinite(m).all() and all(c.fits(s[rows], t[rows], m, None if ns is None else ns[rows], None if nt is None else nt[rows]) for c in checkers):
                 tried[itr] = m
-        met = score_hypotheses(sample, target, max_distance, tried) if tried else {}
-        shares = {itr: n / n_sample for itr, (n, _) in met.items()}
-        scored = met if whole else {}
+        scored, met = score_hypotheses(source, target, max_distance, tried) if whole and tried else {}, None
         for itr in range(done, done + len(states)):
             if itr >= budget:
                 rng.restore(states[itr - done])
                 break
-            if not hopeful(shares.get(itr, 0.0)):
+            if itr not in tried:
                 continue
-            if itr not in scored:
-                soon = [i for i in range(itr, done + len(states)) if hopeful(shares.get(i, 0.0))][:chunk]
-                scored = score_hypotheses(source, target, max_distance, {i: tried[i] for i in soon})
+            if not whole:
+                if met is None and most > total - n_sample:
+                    met = score_hypotheses(sample, target, max_distance, {i: m for i, m in tried.items() if i >= itr})
+                left = [i for i in tried if i >= itr and (met is None or met.get(i, (0, 0.0))[0] + total - n_sample >= most)]
+                if itr not in left:
+                    continue
+                if itr not in scored:
+                    soon = {i: tried[i] for i in left[:chunk]}
+                    scored = dict.fromkeys(soon, (0, 0.0)) | score_hypotheses(source, target, max_distance, soon)
             n, d2 = scored.get(itr, (0, 0.0))
             if not n:
                 continue
             fitness, error = n / total, math.sqrt(d2 / n)
             if fitness > best.fitness or (fitness == best.fitness and error < best.inlier_rmse):
                 m = tried[itr]
-                best = Result(m, fitness, error)
-                near = (((s[::stride] @ m[:3, :3].T + m[:3, 3]) - t[::stride]) ** 2).sum(1) < max_distance**2
+                best, most = Result(m, fitness, error), n
+                near = (((s @ m[:3, :3].T + m[:3, 3]) - t) ** 2).sum(1) < max_distance**2
                 chance = near.mean() ** ransac_n
                 if chance >= 1:
                     budget = min(budget, 1)

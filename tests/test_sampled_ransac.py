@@ -46,6 +46,31 @@ def test_the_same_answer_with_and_without_a_sample(spark, monkeypatch):
     assert found[0] == found[1]
 
 
+def test_a_sample_drops_nothing_that_could_be_best(spark, monkeypatch):
+    """The sampled points have no partners in the target; all others do."""
+    source, target, pairs, shift = clouds(spark, 100)
+    target, pairs = target.where("pid % 10 > 0"), pairs.where("source_id % 10 > 0 AND target_id % 10 > 0")
+    monkeypatch.setattr(R, "every_nth", lambda cloud, n, f=R.every_nth: f(cloud, n, 10))
+    found = []
+    for most in (10**6, 10):
+        monkeypatch.setattr(R, "SAMPLES", most)
+        rng.seed(5)
+        got = R.ransac(source, target, pairs, 0.05, criteria=R.RansacCriteria(40, 0.999), batch=16)
+        found.append((got.transformation.round(9).tolist(), got.fitness, rng.bounded(1 << 30)))
+    assert found[0] == found[1] and found[1][1] == 0.9 and np.allclose(got.transformation[:3, 3], shift)
+
+
+def test_drawing_stops_by_all_correspondences(spark, monkeypatch):
+    """Every second row of 10,000 is wrong; of the others alone, one sample would be enough."""
+    n = 5001
+    source, target, _, _ = clouds(spark, n)
+    pairs = spark.createDataFrame([(i, j) for i in range(n) for j in (i, i + 1) if j < n], "source_id long, target_id long")
+    draws = []
+    monkeypatch.setattr(R.rng, "bounded", lambda _: draws.append(1) or 2 * (len(draws) % 3))
+    got = R.ransac(source, target, pairs, 0.001, criteria=R.RansacCriteria(6, 0.999), batch=1)
+    assert got.fitness == 1.0 and len(draws) == 18
+
+
 def test_every_nth_point(spark):
     by_id = spark.range(100).selectExpr("id AS pid")
     assert [r.pid for r in R.every_nth(by_id, 100, 10).orderBy("pid").collect()] == list(range(0, 100, 10))
